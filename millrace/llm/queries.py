@@ -19,9 +19,40 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.fingerprints import fingerprint_with_edits
+
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.warc import page_digests, round_trip
+
+    return page_digests(round_trip(table(spark, sf_dir, "pages")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.media import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing}
+    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op5_packing": op5_packing, "op10_media": op10_media}
 
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), q AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+        FROM q
+    """,
+}

@@ -31,6 +31,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(round_trip(table(spark, sf_dir, "pages")))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.media import store_and_read
 
@@ -38,7 +44,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op5_packing": op5_packing, "op10_media": op10_media}
+    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op5_packing": op5_packing, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -55,4 +61,24 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
         FROM q
     """,
+    "op9_near_duplicates": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+            FROM w
+        ), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+        e AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), r AS (
+            SELECT doc_id AS id, doc_id AS reach FROM s
+            UNION
+            SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a
+        ), c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM s JOIN c ON s.doc_id = c.id
+    """,
 }

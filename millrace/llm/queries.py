@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,7 +50,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op5_packing": op5_packing, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
+    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_packing": op5_packing, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
 
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -37,6 +37,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digests(round_trip(table(spark, sf_dir, "pages")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.neardup import near_duplicates
 
@@ -50,7 +56,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_packing": op5_packing, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
+    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
 
 
 #: DuckDB SQL of the queries that SQL can express.

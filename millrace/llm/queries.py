@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mixture_rates
+
+    return mixture_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.suffixes import remove_repeats
 
@@ -43,6 +49,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.neardup import near_duplicates
 
@@ -56,7 +74,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
+    return {"op1_fingerprints": op1_fingerprints, "op2_warc": op2_warc, "op3_mixing": op3_mixing, "op4_suffix_dedup": op4_suffix_dedup, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_chat": op7_chat, "op8_line_dedup": op8_line_dedup, "op9_near_duplicates": op9_near_duplicates, "op10_media": op10_media}
 
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -73,6 +91,18 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
         FROM q
     """,
+    "op7_chat": """
+        WITH t AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations
+        ), p AS (
+            SELECT conv_id, i, string_agg(md5(role || chr(0) || text), '' ORDER BY i) OVER (PARTITION BY conv_id ORDER BY i) AS h,
+                count(*) OVER (PARTITION BY conv_id) AS n
+            FROM t
+        ), ends AS (SELECT h, min(conv_id) AS conv_id, count(*) AS copies, min(n) AS n_turns FROM p WHERE i = n GROUP BY h),
+        kept AS (SELECT * FROM ends WHERE h NOT IN (SELECT h FROM p WHERE i < n))
+        SELECT conv_id, n_turns, copies, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY i) AS text
+        FROM kept JOIN t USING (conv_id) GROUP BY conv_id, n_turns, copies
+    """,
     "op9_near_duplicates": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import materialise
 
-#: Pivots that each unresolved bucket tries in one round.
-PIVOTS = 8
+#: Pivots that each large unresolved bucket tries in one round, and the members up to which a bucket is small.
+PIVOTS, SMALL = 8, 64
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -43,38 +43,56 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(roots.select("id", F.col("id").alias("component")))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, test: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, components) of ids that share a bucket and that verify confirms.
 
-    buckets: (key, id), materialised. verify: candidate pairs (a, b), a < b, to the confirmed ones (a, b). Each bucket
-    first tries its smallest id against all others; buckets whose members then form one component are done, since the
-    pairs that were not tried lie within it. The others go on with their next ids as pivots, against members of other
-    components only, until one component or no untried pair is left: no pair of different components goes untried, and
-    a bucket of copies never lists its pairs.
+    buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones (a, b). test: a
+    cheap condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names; pairs that
+    fail it are no candidates.
+
+    Each bucket first tries its smallest id against all others. Where its members then form one component it is done:
+    the pairs that were not tried lie within the component. The other buckets go on with members of different
+    components only, small ones (up to SMALL members, so at most SMALL / 2 pairs a row) at once, large ones with their
+    next PIVOTS ids as pivots, until no such pair is left. No pair of different components goes untried, and a bucket
+    of many copies never lists its pairs.
     """
-    heads = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("last > a").drop("last")
-    members = materialise(buckets.join(heads, "key").select("key", "a", "id"), f"{name}-members")
-    tried = materialise(members.where("id != a").select("a", F.col("id").alias("b")).distinct(), f"{name}-tried")
+    more = [c for c in buckets.columns if c not in ("key", "id")]
+    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("last > head").drop("last")
+    members = materialise(buckets.join(heads, "key").select("key", "head", "id", *more).distinct(), f"{name}-members")
+
+    def side(rows: DataFrame, id_name: str, prefix: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(id_name), *(F.col(c).alias(prefix + c) for c in rows.columns if c not in ("key", "id")))
+
+    def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+        both = side(left, "a", "x_").join(side(right, "b", "y_"), "key").where(condition)
+        return (both.where(test("x_", "y_")) if test else both).select("a", "b").distinct()
+
+    if test:
+        tried = pairs(members.where("id = head"), members.where("id != head"), F.lit(True))
+    else:
+        tried = members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    tried = materialise(tried, f"{name}-tried")
     links = materialise(verify(tried), f"{name}-links")
+    lead = 2  # the rank of the next pivot in large buckets
     while True:
         comps = materialise(connected_components(links), f"{name}-components")
-        where = members.select("key", "id").distinct().join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key")
-        open_rows = materialise(where.join(split, "key"), f"{name}-open")
-        if open_rows.isEmpty():
-            return links, comps
-        # the pivots of this round: the smallest ids that still have an untried later member of another component
-        ranked = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        new = None
-        lead = 2  # rank 1 was tried in the first round
-        most = open_rows.groupBy("key").count().agg(F.max("count")).first()[0]
-        while lead < most and (new is None or new.isEmpty()):
-            pivots = ranked.where(F.col("rank").between(lead, lead + PIVOTS - 1)).select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-            pairs = pivots.join(ranked, "key").where("rank > ra AND component != ca").select("a", F.col("id").alias("b")).distinct()
-            new = materialise(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-new")
-            lead += PIVOTS
-        if new is None or new.isEmpty():
+        where = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low < high AND n > 2 AND (n > {SMALL} OR {lead} = 2)").select("key", "n")
+        rows = materialise(where.join(split, "key").select("key", "id", "component", "n", *more), f"{name}-open")
+        apart = F.col("x_component") != F.col("y_component")
+        small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
+        ranked = large.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+        most = large.agg(F.max("n")).first()[0] or 0
+        if most == 0 and (lead > 2 or rows.isEmpty()):
             return links, comps
-        tried = materialise(tried.union(new), f"{name}-tried")
-        more = materialise(verify(new), f"{name}-links")
-        links = materialise(links.union(more), f"{name}-links")
+        pivots = ranked.where(F.col("rank").between(lead, lead + PIVOTS - 1))
+        new = pairs(pivots, ranked, apart & (F.col("x_rank") < F.col("y_rank")))
+        if lead == 2:
+            new = new.union(pairs(small, small, apart & (F.col("a") < F.col("b")))).distinct()
+        new = materialise(new.join(tried, ["a", "b"], "left_anti"), f"{name}-new")
+        lead += PIVOTS
+        if not new.isEmpty():
+            tried = materialise(tried.union(new), f"{name}-tried")
+            links = materialise(links.union(verify(new)), f"{name}-links")
+        if lead >= most:
+            return links, materialise(connected_components(links), f"{name}-components")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import SPACE, id_back, id_key, materialise, slices, utf8, word_spans
+from millrace.llm.shared import SPACE, id_back, id_key, materialise, slices, tagged, utf8, word_spans
 from millrace.llm.textmodel import SAMPLE, TextModel, choose_features, fit_softmax, labelled, softmax
 
 #: The domains of a labels row, in the order of the classifier's classes.
@@ -115,7 +115,6 @@ def mix_down(df: DataFrame, labels: DataFrame, low_share: float = 0.05, headroom
     have = np.array([x or 0.0 for x in rows.agg(*(F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(len(DOMAINS)))).first()])
     rest = min(1.0, have[0] * low_share / (1 - low_share) / max(have[1:].sum(), 1e-9))
     history, _, _ = fit_rates(rows, totals=have * np.array([headroom, rest, rest]))
-    names, k = df.columns, len(DOMAINS)
 
     @F.pandas_udf("array<double>")
     def posterior(texts):  # noqa: ANN001, ANN202
@@ -125,9 +124,7 @@ def mix_down(df: DataFrame, labels: DataFrame, low_share: float = 0.05, headroom
         parts = [softmax(model.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets)]
         return pd.Series(list(np.concatenate(parts)) if parts else [])
 
-    mark = [f"p{i}" for i in range(k)]
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    marked = df.select(*own, id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    marked = marked.withColumn("p", posterior("text")).withColumns({m: F.element_at("p", i + 1) for i, m in enumerate(mark)})
+    marked, back = tagged(df)
+    marked = marked.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("p", posterior("text")).withColumns({f"p{i}": F.element_at("p", i + 1) for i in range(len(DOMAINS))})
     drawn = F.shiftrightunsigned(F.xxhash64("key", "text", F.lit("mix")), 11) / F.lit(float(2**53))
-    return marked.where(drawn < rate(history)).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return marked.where(drawn < rate(history)).select(*back)

@@ -62,6 +62,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tagged(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df's columns under names of ours beside `key` and `text`, so that no name of its own clashes; and how to get them
+    back under their own names."""
+    own = [F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(df.columns)]
+    out = df.select(*own, id_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return out, [F.col(f"own{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

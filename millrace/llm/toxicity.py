@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_back, id_key, slices, utf8
+from millrace.llm.shared import id_back, id_key, slices, tagged, utf8
 from millrace.llm.textmodel import SAMPLE, Sample, TextModel, choose_features, descend, labelled
 
 GRADES = 3
@@ -106,7 +106,6 @@ def drop_toxic(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
     """The rows of df whose text is not rejected, with all their columns. The score is a column beside the row's own,
     so nothing is joined or shuffled."""
     model = train(df, labels, most)
-    names = df.columns
 
     @F.pandas_udf("double")
     def p_toxic(texts):  # noqa: ANN001, ANN202
@@ -116,5 +115,5 @@ def drop_toxic(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
         out = [sigmoid(model.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))[:, 0] for i, j in slices(offsets)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    marked = df.withColumn("__p_toxic", p_toxic(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.where(F.col("__p_toxic") < 0.5).select(*[F.col(f"`{c}`") for c in names])
+    marked, back = tagged(df)
+    return marked.withColumn("p", p_toxic(F.coalesce("text", F.lit("")))).where("p < 0.5").select(*back)

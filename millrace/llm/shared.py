@@ -50,16 +50,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     The frames that led here are then free, and a driver collection lets Spark's cleaner delete their shuffle files.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path, schema = scratch(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
+    del df
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles and broadcasts are no longer used."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection frees may hold more
+        spark.sparkContext._jvm.System.gc()
 
 
 def tagged(df: DataFrame) -> tuple[DataFrame, list[Column]]:

@@ -11,7 +11,9 @@ same one). A full suffix array keeps some ten bytes per byte of text; this one i
    that content, and neighbours are compared: equal content means a repeat of all strings of the run, equal tokens in
    different surroundings are compared string by string (3). A run at a bucket's end counts as one that goes on in the
    next bucket, which compares across boundaries.
-3. The strings of those suffixes are hashed (128 bits), sorted and compared alike.
+3. Those runs are cut in two, at half their reach before the suffix. All strings of a half share more bytes, by which
+   the halves are sorted and compared alike; what shares them with nothing is done. The strings of the rest are hashed
+   one by one (128 bits) and compared in the same way.
 4. The strings found give byte spans, which are united per document.
 
 Repeats within an input batch are settled there, so a passage that a third of all documents share reaches a bucket
@@ -214,11 +216,17 @@ def splitters(docs: DataFrame, buckets: int, length: int, gram: int) -> tuple[np
     return keys, content
 
 
-def string_rows(docs: DataFrame, told: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The hash of each string of the told suffixes."""
+def told_rows(docs: DataFrame, told: DataFrame, buckets: int, make: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows for the buckets from the told suffixes of each text, joined to it.
+
+    make(sums, others, row, place, offsets) gives (row, a, b, place); sums and others are running sums of the text bytes.
+    """
     per_doc = told.groupBy("doc").agg(F.collect_list("place").alias("places"))
     have = docs.join(per_doc, docs["key"] == per_doc["doc"]).select("key", "text", "places")
 
+    def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -228,29 +236,61 @@ def string_rows(docs: DataFrame, told: DataFrame, buckets: int, length: int) ->
             held: list[tuple[np.ndarray, ...]] = []
             count = 0
             for i, j in slices(offsets):
-                sums = prefix_sums(data[offsets[i] : offsets[j]], EXACT)
-                second = prefix_sums(data[offsets[i] : offsets[j]], OTHER)
-                row = np.repeat(np.arange(i, j), np.diff(cuts[i : j + 1]))
-                first, last = run_strings(values[cuts[i] : cuts[j]])
-                n = last - first + 1
-                ends = np.cumsum(n)
-                start = np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-                row = np.repeat(row, n)
-                at = start + offsets[row] - offsets[i]
-                held.append((span_hashes(sums, at, at + length).view(np.int64), span_hashes(second, at, at + length).view(np.int64), keys[row], start))
-                count += len(start)
+                some = data[offsets[i] : offsets[j]]
+                row = np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1]))
+                row, a, b, place = make(prefix_sums(some, EXACT), prefix_sums(some, OTHER), row, values[cuts[i] : cuts[j]], offsets[i : j + 1] - offsets[i])
+                held.append((a.view(np.int64), b.view(np.int64), keys[i + row], place))
+                count += len(a)
                 if count > 1 << 20:
                     yield settled(*(np.concatenate(x) for x in zip(*held, strict=True)), spread, buckets)
                     held, count = [], 0
             if held:
                 yield settled(*(np.concatenate(x) for x in zip(*held, strict=True)), spread, buckets)
 
-    def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
     return have.mapInArrow(run, COLUMNS)
 
 
+def halves(length: int, gram: int) -> Callable[..., tuple[np.ndarray, ...]]:
+    """The near and far half of each run: the strings that start up to `half` bytes before the suffix, and the others.
+
+    a hashes the bytes that all strings of a whole half share, b the bytes under the half's strings in this run.
+    """
+    half = (length - gram) // 2
+
+    def make(sums: np.ndarray, others: np.ndarray, row: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        first, last = run_strings(place)
+        anchor = place >> 16
+        parts = []
+        for near in (True, False):
+            lo = np.maximum(first, anchor - half) if near else first
+            hi = last if near else np.minimum(last, anchor - half - 1)
+            some = np.flatnonzero(lo <= hi)
+            base, at = offsets[row[some]], anchor[some]
+            begin, end = (at, at + length - half) if near else (at - half - 1, at + gram)
+            shape = (at - lo[some]) << 8 | (hi - lo)[some]
+            a = span_hashes(sums, base + begin, base + end) ^ _SEED[1 + near]
+            b = span_hashes(sums, base + lo[some], base + hi[some] + length) ^ mix(shape.astype(np.uint64) + _SEED[0])
+            parts.append((row[some], a, b, at << 16 | shape))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    return make
+
+
+def strings(length: int) -> Callable[..., tuple[np.ndarray, ...]]:
+    """Each string of each run by two hashes; its place is its start."""
+
+    def make(sums: np.ndarray, others: np.ndarray, row: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        first, last = run_strings(place)
+        n = last - first + 1
+        ends = np.cumsum(n)
+        start = np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        row = np.repeat(row, n)
+        at = start + offsets[row]
+        return row, span_hashes(sums, at, at + length), span_hashes(others, at, at + length), start
+
+    return make
+
+
 #: A second, independent value of each byte.
 OTHER = salts(256, 22)
 
@@ -259,12 +299,13 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tup
     """(documents with key and text, removed spans (doc, lo, hi) in bytes, overlapping ones not yet united)."""
     buckets = width(df.sparkSession)
     docs = df.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    told = lambda rows: rows.where("NOT repeat").select("doc", "place").distinct()
     found = materialise(compare(suffix_rows(docs, splitters(docs, buckets, length, gram), buckets, length, gram), buckets), "suffix-runs")
-    strings = compare(string_rows(docs, found.where("NOT repeat").select("doc", "place").distinct(), buckets, length), buckets)
-    single = materialise(strings.where("repeat").select("doc", F.col("place").alias("lo"), (F.col("place") + length).alias("hi")), "suffix-strings")
+    cut = materialise(compare(told_rows(docs, told(found), buckets, halves(length, gram)), buckets), "suffix-halves")
+    single = materialise(compare(told_rows(docs, told(cut), buckets, strings(length)), buckets).where("repeat"), "suffix-strings")
     first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255)
-    whole = found.where("repeat").select("doc", first.alias("lo"), (first + F.col("place").bitwiseAND(255) + length).alias("hi"))
-    return docs, whole.union(single)
+    runs = found.where("repeat").union(cut.where("repeat")).select("doc", first.alias("lo"), (first + F.col("place").bitwiseAND(255) + length).alias("hi"))
+    return docs, runs.union(single.select("doc", F.col("place").alias("lo"), (F.col("place") + length).alias("hi")))
 
 
 def unite(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

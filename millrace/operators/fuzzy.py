@@ -15,12 +15,13 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.exprs import col
 from millrace.operators.rows import stable
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The sequence ratio of candidate a and query b; the matcher keeps its index of one query while it repeats."""
     matcher, last, out = difflib.SequenceMatcher(None), None, []

@@ -56,7 +56,7 @@ def cast(df: DataFrame, column: str, params: Mapping[str, Any]) -> DataFrame:
     on_invalid {"action": "set_error", "column", "value"} adds a column with value ("invalid") where a filled value did
     not fit; the default leaves null.
     """
-    target = params.get("type") or params.get("dtype") or params.get("to")
+    target = params.get("type") or params.get("to_type") or params.get("dtype") or params.get("to")
     if not target:
         raise ValueError("cast needs a type")
     before = col(column)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import parse_qs, urlparse
+from urllib.parse import parse_qs, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -68,7 +68,7 @@ def sniff_delimiter(lines: DataFrame, candidates: str = ",\t;|:", k: int = 20) -
     return best if row[candidates.index(best)] else ","
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_bytes(content: pd.Series) -> pd.Series:
     """Text by the first encoding that fits: UTF-8 with or without mark, cp1252, latin-1."""
 
@@ -141,7 +141,9 @@ def ingest(spark: SparkSession, path: str) -> DataFrame:
     that are no text. A file that gives no row has one placeholder row."""
     from millrace.sources.office import office_rows
 
-    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_path"))
+    # the listing, since scans leave out files without bytes; Spark's file index holds these names on the driver as well
+    listed = sorted(unquote(p) for p in spark.read.format("binaryFile").load(path).inputFiles())
+    names = spark.createDataFrame([(p,) for p in listed], "source_path string").withColumn("source_path", F.regexp_replace("source_path", "^file:/+", "file:/"))
     lower = F.lower(names["source_path"])
     kinds = {r.k for r in names.select(F.when(lower.rlike(r"\.(xlsx|docx|pptx)$"), "office").when(lower.rlike(r"\.(gdoc|gsheet|gslides)$"), "shortcut").otherwise("text").alias("k")).distinct().collect()}
     parts = []

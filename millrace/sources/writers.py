@@ -92,13 +92,13 @@ def snapshot(df: DataFrame, folder: str, name: str, now: datetime | None = None)
     df.write.parquet(path)
     kept = df.sparkSession.read.parquet(path)
     told = kept.agg(F.count("*").alias("rows"), content_hash(kept).alias("fingerprint")).select(F.lit(name).alias("name"), F.lit(stamp).alias("snapshot_ts"), F.lit(path).alias("path"), "rows", "fingerprint")
-    told.write.mode("append").parquet(f"{folder.rstrip('/')}/{name}/.manifest")
+    told.write.mode("append").parquet(f"{folder.rstrip('/')}/{name}/manifest")
     return path
 
 
 def snapshots(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The manifest of a table's snapshots that are still there."""
-    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}/.manifest")
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}/manifest")
     fs, base = hadoop(spark, f"{folder.rstrip('/')}/{name}")
     there = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(base) if s.getPath().getName().startswith("snapshot_ts=")]
     return rows.where(F.col("snapshot_ts").isin(*there))

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_back, id_key, materialise, scratch
+from millrace.llm.shared import NULL_ID, id_back, id_key, materialise, scratch
 
 BLOCK = 1 << 18
 #: Fixed values of the WARC 1.1 format.
@@ -83,7 +83,7 @@ def write_monolithic(pages: DataFrame, directory: str, date: str = "1970-01-01T0
                 if out is None:
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 key, ref = key.as_py(), ref.as_py()
-                raw = record("response" if ref is None else "revisit", page_urn(key), url.as_py() or "", date, (html.as_py() or "").encode(), digest.as_py(), None if ref is None else page_urn(ref))
+                raw = record("response" if ref is None else "revisit", page_urn(key), url.as_py() or "", date, (html.as_py() or "").encode(), digest.as_py(), None if ref is None else page_urn(None if ref == NULL_ID else ref))
                 out.write(squeeze.compress(raw))
                 n += 1
         if out is not None:
@@ -93,7 +93,7 @@ def write_monolithic(pages: DataFrame, directory: str, date: str = "1970-01-01T0
 
     rows = pages.select(id_key("page_id").alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     told = rows.join(revisits(pages, least), ["key", "digest"], "left")
-    told = told.select(id_back(F.col("key")).alias("key"), "url", "html", "digest", id_back(F.col("refers_to")).alias("refers_to"))
+    told = told.select(id_back(F.col("key")).alias("key"), "url", "html", "digest", "refers_to")
     return materialise(told.mapInArrow(write, "file string, records long"), "warc-files")
 
 

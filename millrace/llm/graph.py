@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import materialise
 
 #: Pivots that each large unresolved bucket tries in one round, and the members up to which a bucket is small.
-PIVOTS, SMALL = 8, 64
+PIVOTS, SMALL = 32, 64
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialise(edges, "edges")
     if edges.isEmpty():
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
@@ -35,26 +34,40 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low)
         edges = materialise(small.where("u != v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        # done when the links are stars: no id has two roots or is itself the root of others
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             break
-        state = tuple(now)
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(roots.select("id", F.col("id").alias("component")))
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, test: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def links_or_none(links: DataFrame | None, members: DataFrame) -> DataFrame:
+    """links, or none of their kind."""
+    return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
+
+
+def link_buckets(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    name: str,
+    test: Callable[[str, str], Column] | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    links: DataFrame | None = None,
+    tried: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(links, components) of ids that share a bucket and that verify confirms.
 
     buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones (a, b). test: a
     cheap condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names; pairs that
-    fail it are no candidates.
+    fail it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
+    still meet. links and tried: what is known already.
 
     Each bucket first tries its smallest id against all others. Where its members then form one component it is done:
-    the pairs that were not tried lie within the component. The other buckets go on with members of different
-    components only, small ones (up to SMALL members, so at most SMALL / 2 pairs a row) at once, large ones with their
-    next PIVOTS ids as pivots, until no such pair is left. No pair of different components goes untried, and a bucket
-    of many copies never lists its pairs.
+    the pairs that were not tried lie within the component. The members of the other buckets go on in finer buckets, if
+    there are any, in the same way; else with members of different components only: small buckets (up to SMALL members,
+    so at most SMALL / 2 pairs a row) at once, large ones with their next PIVOTS ids as pivots until no such pair is
+    left. No pair of different components goes untried, and a bucket of many copies never lists its pairs.
     """
     more = [c for c in buckets.columns if c not in ("key", "id")]
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("last > head").drop("last")
@@ -67,32 +80,56 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], n
         both = side(left, "a", "x_").join(side(right, "b", "y_"), "key").where(condition)
         return (both.where(test("x_", "y_")) if test else both).select("a", "b").distinct()
 
+    def untried(some: DataFrame) -> DataFrame:
+        return materialise(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"{name}-new")
+
+    def try_all(new: DataFrame) -> bool:
+        """Verify new pairs; whether links were found."""
+        nonlocal links, tried
+        if new.isEmpty():
+            return False
+        found = materialise(verify(new), f"{name}-links")
+        tried = new if tried is None else materialise(tried.union(new), f"{name}-tried")
+        if found.isEmpty():
+            return False
+        links = found if links is None else materialise(links.union(found).distinct(), f"{name}-links")
+        return True
+
+    def components() -> DataFrame:
+        return materialise(connected_components(links_or_none(links, members)), f"{name}-components")
+
     if test:
-        tried = pairs(members.where("id = head"), members.where("id != head"), F.lit(True))
+        first = pairs(members.where("id = head"), members.where("id != head"), F.lit(True))
     else:
-        tried = members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    tried = materialise(tried, f"{name}-tried")
-    links = materialise(verify(tried), f"{name}-links")
-    lead = 2  # the rank of the next pivot in large buckets
-    while True:
-        comps = materialise(connected_components(links), f"{name}-components")
+        first = members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    try_all(untried(first))
+    comps = components()
+
+    def unresolved() -> DataFrame:
+        """The members of buckets of several components, with the bucket's size."""
         where = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low < high AND n > 2 AND (n > {SMALL} OR {lead} = 2)").select("key", "n")
-        rows = materialise(where.join(split, "key").select("key", "id", "component", "n", *more), f"{name}-open")
-        apart = F.col("x_component") != F.col("y_component")
-        small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
+        split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key", "n")
+        return materialise(where.join(split, "key").select("key", "id", "component", "n", *more), f"{name}-open")
+
+    apart = F.col("x_component") != F.col("y_component")
+    rows = unresolved()
+    if refine:
+        left = rows.select("id").distinct()
+        if left.isEmpty():
+            return links_or_none(links, members), comps
+        return link_buckets(refine(left), verify, f"{name}-finer", test, None, links, tried)
+    small = rows.where(F.col("n") <= SMALL)
+    if try_all(untried(pairs(small, small, apart & (F.col("a") < F.col("b"))))):
+        comps = components()
+        rows = unresolved()
+    large = rows.where(F.col("n") > SMALL)
+    most, lead = large.agg(F.max("n")).first()[0] or 0, 2
+    while lead < most:
         ranked = large.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        most = large.agg(F.max("n")).first()[0] or 0
-        if most == 0 and (lead > 2 or rows.isEmpty()):
-            return links, comps
         pivots = ranked.where(F.col("rank").between(lead, lead + PIVOTS - 1))
-        new = pairs(pivots, ranked, apart & (F.col("x_rank") < F.col("y_rank")))
-        if lead == 2:
-            new = new.union(pairs(small, small, apart & (F.col("a") < F.col("b")))).distinct()
-        new = materialise(new.join(tried, ["a", "b"], "left_anti"), f"{name}-new")
         lead += PIVOTS
-        if not new.isEmpty():
-            tried = materialise(tried.union(new), f"{name}-tried")
-            links = materialise(links.union(verify(new)), f"{name}-links")
-        if lead >= most:
-            return links, materialise(connected_components(links), f"{name}-components")
+        if try_all(untried(pairs(pivots, ranked, apart & (F.col("x_rank") < F.col("y_rank"))))):
+            comps = components()
+            # ranks must not change, so a bucket keeps its members while it is unresolved
+            large = unresolved().where(F.col("n") > SMALL)
+    return links_or_none(links, members), comps

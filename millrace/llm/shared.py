@@ -10,6 +10,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,18 @@ def tagged(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     return out, [F.col(f"own{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs within, for wide rows; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

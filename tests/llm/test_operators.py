@@ -388,6 +388,32 @@ def test_line_dedup_against_all_pairs(spark):
     assert {100, 101, 102} <= kept_ids
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    """Edit similarity alone: each base line, an edited copy, and nothing else near."""
+    rng = random.Random(21)
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(letter() for _ in range(rng.randint(3, 9)))
+    pairs = [("mississippian", "mississippjan"), ("abcdefghij", "abcdefghi"), ("x" + "ab" * 2000, "y" + "ab" * 2000)]
+    for n in [1, 2, 3, 5, 8, 12, 15, 16, 20, 21, 25, 40, 80, 300] * 8:
+        words = [word() for _ in range(n)]
+        line = " ".join(words)
+        while len(line) < 10:
+            line += letter()
+        at = rng.randrange(len(line))
+        pairs.append((line, line[:at] + "#" + line[at + 1 :]))
+        if n >= 15:
+            i = rng.randrange(n)
+            pairs.append((line + " q", " ".join([*words[:i], "zzz", *words[i + 1 :]]) + " q"))
+    rows = [(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)]
+    group = {}
+    for i, (a, b) in enumerate(pairs[:2] + pairs[3:]):
+        group[i] = edit_distance(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9
+    assert all(group.values())
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert [i for i in range(len(pairs)) if not got[1000 + i]] == []
+    assert not got[0] and not got[1] and not got[2]
+
+
 # ---- near duplicates
 
 

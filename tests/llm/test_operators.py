@@ -414,6 +414,12 @@ def test_line_dedup_finds_edited_lines(spark):
     assert not got[0] and not got[1] and not got[2]
 
 
+def test_line_dedup_keeps_lines_of_other_digits(spark):
+    rows = [(1, "2019: 1,204\n7: 5\n+49 30 5550100"), (2, "7: 6\n2020: 3,881\n+49 30 7770199"), (3, "7: 5"), (4, "the meter of house 4 reads 20177 units"), (5, "the meter of house 5 reads 20177 units")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "", 4: rows[3][1], 5: ""}
+
+
 # ---- near duplicates
 
 

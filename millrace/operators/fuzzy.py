@@ -123,16 +123,34 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != ""))
 
 
-def minhash_pairs(left: DataFrame, right: DataFrame, threshold: float, num_perm: int = 16, seed: int = 42) -> DataFrame:
-    """(a, b, distance): keys whose word sets have a Jaccard similarity of threshold or more, found by MinHash tables."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+def word_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, distance): names k of rows (k, w), a of right and b of left, whose distinct words w have a Jaccard similarity
+    of threshold (over 0) or more. Exact: two such sets share a word among their n - ceil(threshold n) + 1 rarest."""
+    shape = lambda df: df.where(F.size("w") > 0).select("k", "w", F.size("w").alias("n"))
+    l, r = shape(left), shape(right)  # noqa: E741
+    order = l.select("w").union(r.select("w")).select(F.explode("w").alias("g")).groupBy("g").agg(F.count("*").alias("often"))
 
-    words = lambda df: df.select("k", tokens(F.col("k")).alias("w")).where(F.size("w") > 0)
-    tf = HashingTF(inputCol="w", outputCol="f", binary=True, numFeatures=1 << 20)
-    x, y = tf.transform(words(left)), tf.transform(words(right))
-    model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=num_perm, seed=seed).fit(x)
-    found = model.approxSimilarityJoin(x, y, 1 - threshold + 1e-9, "distance")
-    return found.select(F.col("datasetB.k").alias("a"), F.col("datasetA.k").alias("b"), "distance")
+    def under(df: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("k").orderBy("often", "g"))
+        placed = df.select("k", "n", F.explode("w").alias("g")).join(order, "g").withColumn("place", place)
+        rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+        return rare.select("g", F.col("k").alias(name), F.col("n").alias(f"n{name}"), F.col("place").alias(f"p{name}"))
+
+    total = F.col("na") + F.col("nb")
+    # at their first common word, the words from there on must suffice
+    enough = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= total * (threshold / (1 + threshold)) - 1e-9
+    met = under(r, "a").join(under(l, "b"), "g").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).where(enough).select("a", "b").distinct()
+    sets = lambda df, x: df.select(F.col("k").alias(x), F.col("w").alias(f"w{x}"))
+    both = met.join(sets(r, "a"), "a").join(sets(l, "b"), "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
+    distance = 1 - F.col("common") / (F.size("wa") + F.size("wb") - F.col("common"))
+    return both.select("a", "b", distance.alias("distance")).where(F.col("distance") <= 1 - threshold + 1e-9)
+
+
+def minhash_pairs(left: DataFrame, right: DataFrame, threshold: float, num_perm: int = 16, seed: int = 42) -> DataFrame:
+    """(a, b, distance): keys whose word sets have a Jaccard similarity of threshold or more. The search is exact, so
+    num_perm and seed of the MinHash interface change nothing."""
+    words = lambda df: df.select("k", tokens(F.col("k")).alias("w"))
+    return word_pairs(words(left), words(right), threshold)
 
 
 def minhash_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, threshold: float = 0.8, num_perm: int = 16, prefix: str = "right__") -> DataFrame:
@@ -171,14 +189,18 @@ def dedupe_key(columns: Sequence[str]) -> Column:
 
 
 def fuzzy_groups(df: DataFrame, key: Column, order: str, threshold: float, method: str = "difflib") -> DataFrame:
-    """(order column, k, leader) for each row: the cluster of its key by greedy leaders in row order."""
+    """(order column, k, leader) for each row: the cluster of its key by greedy leaders in row order; the minhash method
+    names a leader by its position, as keys can be whole texts."""
     rows = df.select(col(order).alias("pos"), key.alias("k"))
     keys = stable(rows.groupBy("k").agg(F.min("pos").alias("pos")))
     own = keys.select("k")
     if method == "difflib":
         pairs = matching_pairs(own, own, threshold).where("a != b").select("a", "b")
     elif method == "minhash":
-        pairs = minhash_pairs(own, own, threshold).where("a != b").select("a", "b")
+        sets = keys.select(F.col("pos").alias("k"), tokens(F.col("k")).alias("w"))
+        pairs = word_pairs(sets, sets, threshold).where("a != b").select("a", "b")
+        led = leaders(keys.select(F.col("pos").alias("k"), "pos"), pairs).select(F.col("k").alias("first"), "leader")
+        return rows.join(keys.select("k", F.col("pos").alias("first")), "k").join(led, "first").drop("first")
     else:
         raise ValueError(f"unknown matching method {method!r}")
     return rows.join(leaders(keys, pairs), "k")

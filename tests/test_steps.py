@@ -201,6 +201,20 @@ def test_candidates_lose_no_match(spark, cutoff):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_minhash_pairs_lose_no_match(spark, threshold):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    side = lambda n: sorted({" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(n)} | {"common", ""})
+    left, right = side(150), side(150)
+    got = {(r.a, r.b): r.distance for r in fuzzy.minhash_pairs(frame(spark, [(k,) for k in left], "k string"), frame(spark, [(k,) for k in right], "k string"), threshold).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    want = {(a, b): 1 - s for a in right for b in left if (s := like(set(a.split()), set(b.split()))) >= threshold - 1e-9}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_recipe_validation_and_missing_column(spark):
     with pytest.raises(ValueError, match="step 0"):
         validate({"cleaning_steps": [{"action": "odd", "column": "a"}]})

@@ -82,7 +82,7 @@ def misspelt(s: SparkSession, d: str) -> DataFrame:
 
 
 register("d02_fuzzy_dedupe")(lambda s, d: fuzzy.fuzzy_dedupe(misspelt(s, d), ["name"], "p_partkey", 0.85))
-register("d03_minhash_dedupe")(lambda s, d: fuzzy.fuzzy_dedupe(table(s, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("line")), ["line"], "doc_id", 0.8, "minhash"))
+register("d03_minhash_dedupe")(lambda s, d: fuzzy.fuzzy_dedupe(table(s, d, "documents").select("doc_id", "text"), ["text"], "doc_id", 0.8, "minhash"))
 register("d04_entity_resolution")(lambda s, d: fuzzy.entity_resolution(misspelt(s, d), ["name"], "p_partkey", 0.9))
 register("j02_fuzzy_join")(lambda s, d: fuzzy.fuzzy_join(misspelt(s, d), table(s, d, "part").groupBy("p_name").agg(F.min("p_brand").alias("p_brand")), "name", "p_name", 0.8))
 register("j03_minhash_join")(lambda s, d: fuzzy.minhash_join(misspelt(s, d), table(s, d, "part").select("p_name").distinct(), "name", "p_name", 0.3))

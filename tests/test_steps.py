@@ -201,6 +201,36 @@ def test_candidates_lose_no_match(spark, cutoff):
     assert got == want
 
 
+def jaccard_leaders(rows, threshold):
+    """The ids that a greedy pass by id keeps."""
+    leaders, kept = [], set()
+    for i, t in rows:
+        key = " ".join((t or "").lower().split())
+        words = set(key.split())
+        if not any(key == k or (words and w and len(words & w) >= threshold * len(words | w) - 1e-9) for k, w in leaders):
+            leaders.append((key, words))
+            kept.add(i)
+    return kept
+
+
+def test_minhash_dedupe_reads_whole_texts(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.sample(words, 60) for _ in range(12)]
+    rows = [(i, "same head line\n" + " ".join(w)) for i, w in enumerate(base)]
+    rows += [(100 + i, "other head %d\n" % i + " ".join(w[:57])) for i, w in enumerate(base)]
+    rows += [(200 + i, "same head line\n" + " ".join(w[:40] + rng.sample(words, 20))) for i, w in enumerate(base)]
+    rows += [(300, None), (301, ""), (302, " \n ")]
+    frame(spark, rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = set(values(entry.queries()["d03_minhash_dedupe"](spark, f"{tmp_path}"), "doc_id", "doc_id"))
+    assert got == jaccard_leaders(rows, 0.8)
+    assert set(range(12)) <= got and not got & set(range(100, 112))
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_minhash_pairs_lose_no_match(spark, threshold):
     import random

@@ -53,6 +53,45 @@ register("j11_rename_map", "SELECT n_nationkey, n_name, r_name AS region FROM na
 register("j12_conflict_suffix", f"SELECT l.doc_id, l.lang, l.tag, r.quality, r.tag AS tag_lab FROM {LEFT} JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"], suffix="_lab")))
 register("j13_prefer_right", f"SELECT l.doc_id, l.lang, coalesce(r.tag, l.tag) AS tag, r.quality FROM {LEFT} LEFT JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"], "left", prefer="right")))
 register("j14_statistics", f"SELECT (SELECT count(*) FROM {LEFT}) AS left_rows, (SELECT count(*) FROM {RIGHT}) AS right_rows, (SELECT count(*) FROM {LEFT} JOIN {RIGHT} ON l.doc_id = r.doc_id) AS joined_rows, (SELECT count(*) FROM {LEFT} WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS left_unmatched, (SELECT count(*) FROM {RIGHT} WHERE doc_id % 3 = 0) AS right_unmatched")(lambda s, d: joins.join_statistics(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"])))
+
+# ---- the same joins over whole tables: documents with labels, and labels with documents, of which some have no label
+
+
+def whole_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents and all labels; some documents have no label."""
+    return table(s, d, "documents").select("doc_id", "lang", F.col("source").alias("tag")), sides(s, d)[1]
+
+
+def turned_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All labels and all documents: rows of the right side have no partner."""
+    return whole_sides(s, d)[::-1]
+
+
+WHOLE_LEFT = "(SELECT doc_id, lang, source AS tag FROM documents) l"
+TURNED_LEFT, TURNED_RIGHT = RIGHT.removesuffix("r") + "l", WHOLE_LEFT.removesuffix("l") + "r"
+
+
+def joining_whole(name: str, how: str, key: str, kind: str) -> None:
+    @register(name, f"SELECT {key} AS doc_id, l.lang, l.tag, r.quality, r.tag AS tag_right FROM {WHOLE_LEFT} {kind} JOIN {RIGHT} ON l.doc_id = r.doc_id")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return joins.equi_join(*whole_sides(s, d), JoinSpec(["doc_id"], ["doc_id"], how))
+
+
+def joining_turned(name: str, how: str, key: str, kind: str) -> None:
+    @register(name, f"SELECT {key} AS doc_id, l.quality, l.tag, r.lang, r.tag AS tag_right FROM {TURNED_LEFT} {kind} JOIN {TURNED_RIGHT} ON l.doc_id = r.doc_id")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return joins.equi_join(*turned_sides(s, d), JoinSpec(["doc_id"], ["doc_id"], how))
+
+
+joining_whole("j04w_inner_whole", "inner", "l.doc_id", "")
+joining_whole("j05w_left_whole", "left", "l.doc_id", "LEFT")
+joining_turned("j06w_right_whole", "right", "r.doc_id", "RIGHT")
+joining_turned("j07w_full_whole", "outer", "coalesce(l.doc_id, r.doc_id)", "FULL")
+register("j08w_anti_whole", f"SELECT l.* FROM {WHOLE_LEFT} WHERE l.doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: joins.equi_join(*whole_sides(s, d), JoinSpec(["doc_id"], ["doc_id"], "anti")))
+register("j12w_conflict_suffix_whole", f"SELECT l.doc_id, l.lang, l.tag, r.quality, r.tag AS tag_lab FROM {WHOLE_LEFT} JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*whole_sides(s, d), JoinSpec(["doc_id"], ["doc_id"], suffix="_lab")))
+register("j13w_prefer_right_whole", f"SELECT l.doc_id, l.lang, coalesce(r.tag, l.tag) AS tag, r.quality FROM {WHOLE_LEFT} LEFT JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*whole_sides(s, d), JoinSpec(["doc_id"], ["doc_id"], "left", prefer="right")))
+register("j14w_statistics_whole", f"SELECT (SELECT count(*) FROM {TURNED_LEFT}) AS left_rows, (SELECT count(*) FROM {TURNED_RIGHT}) AS right_rows, (SELECT count(*) FROM {TURNED_LEFT} JOIN {TURNED_RIGHT} ON l.doc_id = r.doc_id) AS joined_rows, (SELECT count(*) FROM {TURNED_LEFT} WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS left_unmatched, (SELECT count(*) FROM {TURNED_RIGHT} WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS right_unmatched")(lambda s, d: joins.join_statistics(*turned_sides(s, d), JoinSpec(["doc_id"], ["doc_id"])))
+
 register("j15_suggest_keys", "SELECT 'doc_id' AS left_key, 'doc_id' AS right_key, 1.0 AS similarity, (SELECT count(*) FROM labels) / (SELECT count(*) FROM documents) AS containment, 1.0 AS left_unique, 1.0 AS right_unique")(lambda s, d: joins.suggest_keys(table(s, d, "documents"), table(s, d, "labels")))
 register("j16_entity_link", "SELECT c_custkey, n_nationkey AS right__n_nationkey, upper(n_name) AS right__n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(
     lambda s, d: fuzzy.entity_link(table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit(" "), F.lower("n_name")).alias("n_name")), table(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")), ["n_name"]).drop("n_name")

@@ -45,3 +45,19 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WHOLE_JOINS = ("j04w_inner_whole", "j05w_left_whole", "j06w_right_whole", "j07w_full_whole", "j08w_anti_whole", "j12w_conflict_suffix_whole", "j13w_prefer_right_whole", "j14w_statistics_whole")
+
+
+@pytest.mark.parametrize("name", WHOLE_JOINS)
+def test_whole_join_equals_sql(spark, sql, name):
+    test_query_equals_sql(spark, sql, name)
+
+
+def test_whole_joins_leave_no_row_out(spark, sql):
+    one = lambda q: sql.execute(q).fetchone()[0]
+    run = lambda name: entry.queries()[name](spark, DATA)
+    assert run("j05w_left_whole").count() == one("SELECT count(*) FROM documents")
+    assert run("j04w_inner_whole").where("doc_id % 3 = 0").count() == one("SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE doc_id % 3 = 0") > 0
+    assert run("j06w_right_whole").where("quality IS NULL").count() == one("SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)") > 0

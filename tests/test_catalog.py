@@ -61,3 +61,9 @@ def test_whole_joins_leave_no_row_out(spark, sql):
     assert run("j05w_left_whole").count() == one("SELECT count(*) FROM documents")
     assert run("j04w_inner_whole").where("doc_id % 3 = 0").count() == one("SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE doc_id % 3 = 0") > 0
     assert run("j06w_right_whole").where("quality IS NULL").count() == one("SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)") > 0
+
+
+def test_normalize_runs_on_the_whole_text(spark, sql):
+    test_query_equals_sql(spark, sql, "x01w_normalize_lower_whole")
+    longest = entry.queries()["x01w_normalize_lower_whole"](spark, DATA).selectExpr("max(length(out))").first()[0]
+    assert longest == sql.execute("SELECT max(length(trim(text))) FROM documents").fetchone()[0] > 80

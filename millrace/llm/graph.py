@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialise
+from millrace.llm.shared import drop, materialise
 
-#: Pivots that each large unresolved bucket tries in one round, and the members up to which a bucket is small.
-PIVOTS, SMALL = 32, 64
+#: Members up to which the pairs of an unresolved bucket are listed before finer buckets are tried.
+SMALL = 32
+
+Test = Callable[[str, str], Column]
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,118 +21,134 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each id hands its neighbours the smallest of them, so a step is one
     aggregation and one join, a hub of any size included, and the links become stars in a few rounds. Every round is
-    written to the shared folder. Empty links give no rows.
+    written to the shared folder, the one before it deleted. Empty links give no rows.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    edges = materialise(edges, "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    while True:
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
-        large = materialise(large, "edges")
+        large = materialise(large, "edges", edges)
         # small star: every smaller neighbour and the id itself are linked to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low)
-        edges = materialise(small.where("u != v").distinct(), "edges")
-        # done when the links are stars: no id has two roots or is itself the root of others
-        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
-            break
+        edges = materialise(small.where("u != v").distinct(), "edges", large)
     roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(roots.select("id", F.col("id").alias("component")))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no id has two roots or is itself the root of others."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
+def _prefixed(rows: DataFrame, more: Sequence[str], prefix: str) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(prefix + c) for c in ("id", *more)))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each, of rows with x_id and y_id."""
+    return rows.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).where("a < b").distinct()
+
+
+def shared_buckets(buckets: DataFrame, name: str) -> DataFrame:
+    """The rows of buckets that several ids share, with `hub`, a row of each bucket.
+
+    The hub has the most others beside it over all its buckets: a text that many were copied from shares nearly all its
+    buckets with them, a copy shares those that its edits left.
+    """
+    more = [c for c in buckets.columns if c not in ("key", "id")]
+    counts = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "n")
+    members = materialise(buckets.join(counts, "key"), f"{name}-members", buckets)
+    support = members.groupBy("id").agg(F.sum("n").alias("support"))
+    hubs = members.join(support, "id").groupBy("key").agg(F.max(F.struct("support", "id", *more)).alias("hub"))
+    return materialise(members.drop("n").join(hubs, "key"), f"{name}-hubs", members)
 
 
-def links_or_none(links: DataFrame | None, members: DataFrame) -> DataFrame:
-    """links, or none of their kind."""
-    return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if links is None else links
+def star_pairs(members: DataFrame, test: Test | None) -> DataFrame:
+    """Each bucket's hub beside its other members."""
+    more = [c for c in members.columns if c not in ("key", "id", "hub")]
+    both = members.select(*(F.col(c).alias(f"x_{c}") for c in ("id", *more)), *(F.col(f"hub.{c}").alias(f"y_{c}") for c in ("id", *more)))
+    return _ordered(both.where(test("x_", "y_")) if test else both)
+
+
+def cross_pairs(rows: DataFrame, test: Test | None) -> DataFrame:
+    """The pairs of one bucket and different components."""
+    more = [c for c in rows.columns if c not in ("key", "id")]
+    both = _prefixed(rows, more, "x_").join(_prefixed(rows, more, "y_"), "key").where("x_id < y_id AND x_component != y_component")
+    return _ordered(both.where(test("x_", "y_")) if test else both)
+
+
+def unresolved(members: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    """The members of buckets of several components, with their component and the bucket's size n.
+
+    A bucket of two has had its one pair.
+    """
+    where = members.drop("hub").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key", "n")
+    return materialise(where.join(split, "key"), f"{name}-open", members)
 
 
 def link_buckets(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     name: str,
-    test: Callable[[str, str], Column] | None = None,
+    test: Test | None = None,
     refine: Callable[[DataFrame], DataFrame] | None = None,
-    links: DataFrame | None = None,
-    tried: DataFrame | None = None,
+    finer: Test | None = None,
+    known: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) of ids that share a bucket and that verify confirms.
 
-    buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones (a, b). test: a
-    cheap condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names; pairs that
-    fail it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
-    still meet. links and tried: what is known already.
+    buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones, written. test: a cheap
+    condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names; pairs that fail
+    it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
+    still meet, with the condition finer in place of test. known: links that hold without proof; they are not returned.
 
-    Each bucket first tries its smallest id against all others. Where its members then form one component it is done:
-    the pairs that were not tried lie within the component. The members of the other buckets go on in finer buckets, if
-    there are any, in the same way; else with members of different components only: small buckets (up to SMALL members,
-    so at most SMALL / 2 pairs a row) at once, large ones with their next PIVOTS ids as pivots until no such pair is
-    left. No pair of different components goes untried, and a bucket of many copies never lists its pairs.
+    Each bucket first tries its hub against all others. Where its members then form one component it is done: the pairs
+    that were not tried lie within the component. Of the other buckets those of up to SMALL members, so at most
+    SMALL / 2 pairs a row, list their pairs of different components; the members of larger ones go on in finer buckets
+    in the same way, at whose end all pairs of different components that pass the condition are tried. No such pair goes
+    untried, and a bucket of many copies never lists its pairs.
     """
-    more = [c for c in buckets.columns if c not in ("key", "id")]
-    heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("last > head").drop("last")
-    members = materialise(buckets.join(heads, "key").select("key", "head", "id", *more).distinct(), f"{name}-members")
-
-    def side(rows: DataFrame, id_name: str, prefix: str) -> DataFrame:
-        return rows.select("key", F.col("id").alias(id_name), *(F.col(c).alias(prefix + c) for c in rows.columns if c not in ("key", "id")))
-
-    def pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-        both = side(left, "a", "x_").join(side(right, "b", "y_"), "key").where(condition)
-        return (both.where(test("x_", "y_")) if test else both).select("a", "b").distinct()
-
-    def untried(some: DataFrame) -> DataFrame:
-        return materialise(some if tried is None else some.join(tried, ["a", "b"], "left_anti"), f"{name}-new")
-
-    def try_all(new: DataFrame) -> bool:
-        """Verify new pairs; whether links were found."""
-        nonlocal links, tried
-        if new.isEmpty():
-            return False
-        found = materialise(verify(new), f"{name}-links")
-        tried = new if tried is None else materialise(tried.union(new), f"{name}-tried")
-        if found.isEmpty():
-            return False
-        links = found if links is None else materialise(links.union(found).distinct(), f"{name}-links")
-        return True
+    found: list[DataFrame] = []
+    none = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+    def try_all(pairs: DataFrame) -> None:
+        pairs = materialise(pairs, f"{name}-pairs")
+        if not pairs.isEmpty():
+            found.append(verify(pairs))
+        drop(pairs)
+
+    def links() -> DataFrame:
+        return reduce(DataFrame.union, found, none).distinct()
 
     def components() -> DataFrame:
-        return materialise(connected_components(links_or_none(links, members)), f"{name}-components")
+        return connected_components(links() if known is None else links().union(known))
 
-    if test:
-        first = pairs(members.where("id = head"), members.where("id != head"), F.lit(True))
-    else:
-        first = members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    try_all(untried(first))
+    members = shared_buckets(buckets, name)
+    try_all(star_pairs(members, test))
     comps = components()
-
-    def unresolved() -> DataFrame:
-        """The members of buckets of several components, with the bucket's size."""
-        where = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = where.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2").select("key", "n")
-        return materialise(where.join(split, "key").select("key", "id", "component", "n", *more), f"{name}-open")
-
-    apart = F.col("x_component") != F.col("y_component")
-    rows = unresolved()
-    if refine:
-        left = rows.select("id").distinct()
-        if left.isEmpty():
-            return links_or_none(links, members), comps
-        return link_buckets(refine(left), verify, f"{name}-finer", test, None, links, tried)
-    small = rows.where(F.col("n") <= SMALL)
-    if try_all(untried(pairs(small, small, apart & (F.col("a") < F.col("b"))))):
+    rows = unresolved(members, comps, name)
+    if rows.isEmpty():
+        drop(rows)
+        return links(), comps
+    small = rows.where(F.col("n") <= SMALL) if refine else rows
+    pairs = cross_pairs(small.drop("n"), test)
+    large = rows.where(F.col("n") > SMALL).select("id").distinct() if refine else None
+    if large is None or large.isEmpty():
+        try_all(pairs)
+        drop(rows)
+        return links(), components()
+    members = shared_buckets(refine(large), f"{name}-finer")
+    try_all(pairs.union(star_pairs(members, finer)).distinct())
+    drop(rows)
+    comps = components()
+    rows = unresolved(members, comps, f"{name}-finer")
+    if not rows.isEmpty():
+        try_all(cross_pairs(rows.drop("n"), finer))
         comps = components()
-        rows = unresolved()
-    large = rows.where(F.col("n") > SMALL)
-    most, lead = large.agg(F.max("n")).first()[0] or 0, 2
-    while lead < most:
-        ranked = large.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        pivots = ranked.where(F.col("rank").between(lead, lead + PIVOTS - 1))
-        lead += PIVOTS
-        if try_all(untried(pairs(pivots, ranked, apart & (F.col("x_rank") < F.col("y_rank"))))):
-            comps = components()
-            # ranks must not change, so a bucket keeps its members while it is unresolved
-            large = unresolved().where(F.col("n") > SMALL)
-    return links_or_none(links, members), comps
+    drop(rows)
+    return links(), comps

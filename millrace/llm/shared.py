@@ -7,6 +7,7 @@ position-independent hash of every word of a whole batch, so no per-word Python
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,26 +37,42 @@ def id_back(col: Column) -> Column:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which all executors share.
 
-    Where the session has no such setting (local tests), a temporary folder is set once.
+    Where a local session (tests) has no such setting, a temporary folder is set once; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The frames that led here are then free, and a driver collection lets Spark's cleaner delete their shuffle files.
+    The frames that led here are then free, and a driver collection lets Spark's cleaner delete their shuffle files;
+    the tables behind `done` are deleted, since nothing is computed from them again.
     """
     spark = df.sparkSession
     path, schema = scratch(spark, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
+    drop(*done)
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables that materialise has written for frames; all that was computed from them must be written."""
+    for df in frames:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -29,15 +29,28 @@ def connected_components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
         # large star: every larger neighbour is linked to the smallest of the neighbourhood
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
-        large = materialise(large, "edges", edges)
         # small star: every smaller neighbour and the id itself are linked to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low)
-        edges = materialise(small.where("u != v").distinct(), "edges", large)
+        edges = materialise(small.where("u != v").distinct(), "edges", edges)
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
+def with_links(components: DataFrame | None, links: DataFrame) -> DataFrame:
+    """components (id, component) after more links (a, b): only components that new links join are worked on."""
+    if components is None:
+        return connected_components(links)
+    name = lambda c: components.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    joined = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joined = joined.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b")
+    more = connected_components(joined)
+    new = more.select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    moved = components.join(new, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
+    single = more.join(components.select("id"), "id", "left_anti")
+    return materialise(moved.union(single.select("id", "component")), "components")
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether no id has two roots or is itself the root of others."""
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -115,40 +128,38 @@ def link_buckets(
     """
     found: list[DataFrame] = []
     none = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    comps = None if known is None else connected_components(known)
 
     def try_all(pairs: DataFrame) -> None:
+        nonlocal comps
         pairs = materialise(pairs, f"{name}-pairs")
-        if not pairs.isEmpty():
-            found.append(verify(pairs))
+        some = pairs.isEmpty() or verify(pairs)
+        if some is not True and not some.isEmpty():
+            found.append(some)
+            comps = with_links(comps, some)
+        elif comps is None:
+            comps = connected_components(none)
         drop(pairs)
 
     def links() -> DataFrame:
         return reduce(DataFrame.union, found, none).distinct()
 
-    def components() -> DataFrame:
-        return connected_components(links() if known is None else links().union(known))
-
     members = shared_buckets(buckets, name)
     try_all(star_pairs(members, test))
-    comps = components()
     rows = unresolved(members, comps, name)
-    if rows.isEmpty():
-        drop(rows)
-        return links(), comps
     small = rows.where(F.col("n") <= SMALL) if refine else rows
     pairs = cross_pairs(small.drop("n"), test)
     large = rows.where(F.col("n") > SMALL).select("id").distinct() if refine else None
     if large is None or large.isEmpty():
-        try_all(pairs)
+        if not rows.isEmpty():
+            try_all(pairs)
         drop(rows)
-        return links(), components()
+        return links(), comps
     members = shared_buckets(refine(large), f"{name}-finer")
     try_all(pairs.union(star_pairs(members, finer)).distinct())
     drop(rows)
-    comps = components()
     rows = unresolved(members, comps, f"{name}-finer")
     if not rows.isEmpty():
         try_all(cross_pairs(rows.drop("n"), finer))
-        comps = components()
     drop(rows)
     return links(), comps

@@ -112,13 +112,15 @@ def link_buckets(
     refine: Callable[[DataFrame], DataFrame] | None = None,
     finer: Test | None = None,
     known: DataFrame | None = None,
+    ready: Callable[[DataFrame], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) of ids that share a bucket and that verify confirms.
 
-    buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones, written. test: a cheap
-    condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names; pairs that fail
-    it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
+    buckets: (key, id, further columns). verify: candidate pairs (a, b), a < b, to the confirmed ones, written.
+    test: a cheap condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names;
+    pairs that fail it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
     still meet, with the condition finer in place of test. known: links that hold without proof; they are not returned.
+    ready: told the ids (id) that pairs can have, before verify is called.
 
     Each bucket first tries its hub against all others. Where its members then form one component it is done: the pairs
     that were not tried lie within the component. Of the other buckets those of up to SMALL members, so at most
@@ -145,6 +147,8 @@ def link_buckets(
         return reduce(DataFrame.union, found, none).distinct()
 
     members = shared_buckets(buckets, name)
+    if ready:
+        ready(members.select("id").distinct())
     try_all(star_pairs(members, test))
     rows = unresolved(members, comps, name)
     small = rows.where(F.col("n") <= SMALL) if refine else rows

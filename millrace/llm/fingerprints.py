@@ -93,7 +93,7 @@ def merge_fingerprints(df: DataFrame, by: list[str], k: int = K) -> DataFrame:
     schema = to_arrow_schema(few.schema)
     schema = pa.schema([pa.field(f.name, f.type) for f in schema])
     few = few.mapInArrow(part, few.schema)
-    return (few.repartition(*by) if by else few.coalesce(1)).mapInArrow(part, few.schema)
+    return (few.repartition(*by) if by else few.repartition(1)).mapInArrow(part, few.schema)
 
 
 def neighbours(df: DataFrame, parts: int | None = None) -> DataFrame:

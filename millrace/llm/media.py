@@ -95,7 +95,7 @@ def write_archive(df: DataFrame, directory: str | None = None, most_bytes: int =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(directory)
         fs.create_dir(f"{path}/data", recursive=True)
-        out, name, at = None, "", 0
+        out, name, at, before = None, "", 0, 0
         rows: list[tuple] = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -107,8 +107,8 @@ def write_archive(df: DataFrame, directory: str | None = None, most_bytes: int =
                 raw = (text.as_py() or "").encode()
                 stored = encode_png(raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW)))
                 out.write(stored)
-                rows.append((name, at, len(stored), doc, len(raw)))
-                at += len(stored)
+                rows.append((name, at, len(stored), doc, len(raw), before))
+                at, before = at + len(stored), before + len(stored)
             if rows:
                 yield index(rows)
                 rows = []
@@ -116,23 +116,23 @@ def write_archive(df: DataFrame, directory: str | None = None, most_bytes: int =
             out.close()
 
     def index(rows: list[tuple]) -> pa.RecordBatch:
-        name, at, size, doc, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *(pa.array(x, pa.int64()) for x in (at, size, doc, n))], names=["archive", "offset", "size", "doc_id", "n_bytes"])
+        name, *numbers = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=["archive", "offset", "size", "doc_id", "n_bytes", "before"])
 
     few = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    few.mapInArrow(write, "archive string, offset long, size long, doc_id long, n_bytes long").write.parquet(f"{directory}/index")
+    few.mapInArrow(write, "archive string, offset long, size long, doc_id long, n_bytes long, before long").write.parquet(f"{directory}/index")
     return directory
 
 
 class Members(InputPartition):
-    """A range of row groups of one index file."""
+    """Part `part` of the `parts` byte ranges of a row group of one index file."""
 
-    def __init__(self, file: str, group: int, first: int, count: int) -> None:
-        self.file, self.group, self.first, self.count = file, group, first, count
+    def __init__(self, file: str, group: int, part: int, parts: int) -> None:
+        self.file, self.group, self.part, self.parts = file, group, part, parts
 
 
 class ArchiveReader(DataSourceReader):
-    """Plans by the index's row counts and sizes; reads members by offset."""
+    """Plans byte ranges by the index's statistics; reads members by offset."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
@@ -141,7 +141,8 @@ class ArchiveReader(DataSourceReader):
         self.batch = int(options.get("batchbytes", 4 << 20))
 
     def partitions(self) -> list[Members]:
-        """Only the index footers are read on the driver: bytes of a row group by its statistics, rows split evenly."""
+        """Only the index footers are read on the driver: the column `before` (bytes before a member, over the archives of
+        its task) tells by its least and greatest value how many bytes a row group spans."""
         fs, path = pafs.FileSystem.from_uri(self.path)
         out = []
         for info in sorted(fs.get_file_info(pafs.FileSelector(f"{path}/index")), key=lambda x: x.path):
@@ -151,17 +152,23 @@ class ArchiveReader(DataSourceReader):
                 meta = pq.ParquetFile(f).metadata
             for g in range(meta.num_row_groups):
                 group = meta.row_group(g)
-                offsets = next(group.column(c).statistics for c in range(group.num_columns) if group.column(c).path_in_schema == "offset")
+                offsets = next(group.column(c).statistics for c in range(group.num_columns) if group.column(c).path_in_schema == "before")
                 spread = max(offsets.max - offsets.min, 0) if offsets is not None and offsets.has_min_max else self.split
                 pieces = max(1, min(group.num_rows, -(-spread // self.split)))
-                step = -(-group.num_rows // pieces) if group.num_rows else 0
-                out += [Members(info.path, g, i, min(step, group.num_rows - i)) for i in range(0, group.num_rows, step or 1)]
+                out += [Members(info.path, g, i, pieces) for i in range(pieces if group.num_rows else 0)]
         return out
 
-    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark reads a source without partitions so
+            return
         fs, path = pafs.FileSystem.from_uri(self.path)
         with fs.open_input_file(partition.file) as f:
-            rows = pq.ParquetFile(f).read_row_group(partition.group).slice(partition.first, partition.count)
+            rows = pq.ParquetFile(f).read_row_group(partition.group)
+        # a member belongs to the range that holds its first byte
+        before = rows.column("before").to_numpy() - rows.column("before")[0].as_py()
+        whole = int(before[-1]) + rows.column("size")[-1].as_py()
+        first, last = np.searchsorted(before, [-(-whole * k // partition.parts) for k in (partition.part, partition.part + 1)])
+        rows = rows.slice(int(first), int(last - first))
         files: dict[str, pa.NativeFile] = {}
         out: list[tuple] = []
         held = 0

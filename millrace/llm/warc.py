@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import NULL_ID, id_back, id_key, materialise, scratch
+from millrace.llm.shared import NULL_ID, id_back, id_key, materialise, scratch, width
 
 BLOCK = 1 << 18
 #: Fixed values of the WARC 1.1 format.
@@ -149,8 +149,10 @@ def normalise(files: DataFrame, directory: str) -> DataFrame:
     """Rewrite each gzip file of `files` (a path `file` relative to the directory) with a member per record.
 
     Returns the index (archive, offset, size, record_type, record_id, target_uri), also written beside each archive as
-    JSON lines. One file is one row, so files are dealt evenly over the tasks.
+    JSON lines. A file is one task: their number is given to Spark, which else merges such small rows into one.
     """
+    files = materialise(files.select("file"), "warc-files")
+    count = max(files.count(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(directory)
@@ -178,7 +180,7 @@ def normalise(files: DataFrame, directory: str) -> DataFrame:
         types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    return materialise(files.select("file").repartition("file").mapInArrow(run, INDEX), "warc-index")
+    return materialise(files.repartitionByRange(count, "file").mapInArrow(run, INDEX), "warc-index", files)
 
 
 def parse(raw: bytes) -> tuple:
@@ -216,7 +218,9 @@ def read_records(index: DataFrame, directory: str, payloads: bool = True) -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return index.select("archive", "offset", "size").mapInArrow(run, RECORD)
+    # dealt anew in the order of the archives: the index is too small to be split by its own size
+    rows = index.select("archive", "offset", "size").repartitionByRange(width(index.sparkSession), "archive", "offset")
+    return rows.sortWithinPartitions("archive", "offset").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

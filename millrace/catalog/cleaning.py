@@ -75,7 +75,7 @@ register("p13_category", "SELECT event_id, event_type FROM events WHERE event_ty
 
 # ---- text
 
-step("x01a_normalize_lower", "normalize", "documents", "concat('  ', substr(text, 1, 80), ' ')", {"case": "lower"}, ["doc_id"], "SELECT doc_id, lower(trim('  ' || substr(text, 1, 80) || ' ', ' ')) AS out FROM documents")
+step("x01a_normalize_lower", "normalize", "documents", "concat('  ', text, ' ')", {"case": "lower"}, ["doc_id"], "SELECT doc_id, lower(trim('  ' || text || ' ', ' ')) AS out FROM documents")
 step("x01w_normalize_lower_whole", "normalize", "documents", "concat('  ', text, ' ')", {"case": "lower"}, ["doc_id"], "SELECT doc_id, lower(trim('  ' || text || ' ', ' ')) AS out FROM documents")
 step("x01b_normalize_upper", "normalize", "part", "p_name", {"case": "upper"}, ["p_partkey"], "SELECT p_partkey, upper(trim(p_name)) AS out FROM part")
 step("x02_normalize_capitalize", "normalize", "part", "concat(' ', upper(p_name))", {"case": "capitalize"}, ["p_partkey"], "SELECT p_partkey, upper(substr(trim(p_name), 1, 1)) || lower(substr(trim(p_name), 2)) AS out FROM part")

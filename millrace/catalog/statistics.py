@@ -124,7 +124,15 @@ def q05_preview(s: SparkSession, d: str) -> DataFrame:
 register("q06_step_preview", "SELECT 'r_name' AS \"column\", string_agg(r_name, ',' ORDER BY r_regionkey) AS before, string_agg(lower(r_name), ',' ORDER BY r_regionkey) AS after FROM region")(
     lambda s, d: preview.step_preview(table(s, d, "region"), {"action": "normalize", "column": "r_name", "params": {"case": "lower"}}, 20, "r_regionkey").select("column", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 )
-register("q07_explain", f"WITH g AS ({GAPS}) SELECT 0 AS step, 'impute' AS action, 'q' AS \"column\", 'q has ' || CAST(count(*) - count(q) AS VARCHAR) || ' missing values; median fits double data' AS reason, 0.8 AS confidence FROM g UNION ALL SELECT 1, 'rename', 't', 'rename t', 0.9")(
+EXPLAINED = f"""
+    WITH g AS ({GAPS})
+    SELECT 0 AS step, 'impute' AS action, 'q' AS "column", CAST(0.8 AS DOUBLE) AS confidence,
+        'impute: q is double with ' || CAST(count(*) - count(q) AS VARCHAR) || ' missing; strategy=median' AS reason
+    FROM g
+    UNION ALL
+    SELECT 1, 'rename', 't', CAST(0.9 AS DOUBLE), 'rename: t is string with ' || CAST(count(*) - count(t) AS VARCHAR) || ' missing; new_name=u' FROM g
+"""
+register("q07_explain", EXPLAINED)(
     lambda s, d: preview.explain({"cleaning_steps": [{"action": "impute", "column": "q", "params": {}}, {"action": "rename", "column": "t", "params": {"new_name": "u"}}]}, aggregate.profile(gaps(s, d)))
 )
 

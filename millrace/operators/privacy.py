@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.exprs import col
 
+#: The pattern of an address and what stands in its place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 REDACTED = "redacted@example.com"
 #: Parts of headers and keys that hold personal data, secret fields, and what stands for a token.

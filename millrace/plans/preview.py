@@ -12,12 +12,10 @@ from millrace.functions.exprs import col
 from millrace.operators.columns import without_meta
 from millrace.plans.recipe import Context, apply_step, compile_recipe, names_of
 
-#: Confidence of each action's explanation, and what it says; {c} is the column.
-REASONS = {
-    "cast": (0.85, "convert {c} to the given type"), "move_by_type": (0.7, "move values by type between two columns"), "swap_by_types": (0.75, "swap values between columns by type"),
-    "remove_by_type": (0.7, "remove values of one type from {c}"), "map": (0.8, "map chosen values of {c} to others"), "regex_replace": (0.8, "regex replacement on {c}"),
-    "bucketize": (0.8, "bucket the numbers of {c} under labels"), "conditional": (0.7, "set {c} under a condition"), "join": (0.75, "join with another table by keys, fuzzy if asked for"),
-    "fuzzy_join": (0.7, "fuzzy join with another table"), "deduplicate": (0.8, "keep the first of duplicate rows"), "rename": (0.9, "rename {c}"), "drop_column": (0.95, "the recipe removes {c}"),
+#: The confidence that goes with each action; impute and normalize depend on the profile, others have 0.3.
+CONFIDENCE = {
+    "cast": 0.85, "move_by_type": 0.7, "swap_by_types": 0.75, "remove_by_type": 0.7, "map": 0.8, "regex_replace": 0.8, "bucketize": 0.8,
+    "conditional": 0.7, "join": 0.75, "fuzzy_join": 0.7, "deduplicate": 0.8, "rename": 0.9, "drop_column": 0.95,
 }
 
 
@@ -44,17 +42,27 @@ def step_preview(df: DataFrame, step: Mapping[str, Any], n: int = 20, order: str
 
 
 def explain(recipe: Mapping[str, Any], profile: DataFrame) -> DataFrame:
-    """(step, action, column, reason, confidence) of each step and column, by the profile's gaps and types."""
+    """(step, action, column, reason, confidence) of each step and column.
+
+    A reason states what the step meets and what it was given: "impute: q is double with 5 missing; strategy=median".
+    """
     spark = profile.sparkSession
-    listed = [(i, s["action"], c, (s.get("params") or {}).get("strategy")) for i, s in enumerate(recipe.get("cleaning_steps") or []) for c in (names_of(s) or [None])]
-    steps = spark.createDataFrame(listed, "step int, action string, column string, strategy string")
+    listed = []
+    for i, s in enumerate(recipe.get("cleaning_steps") or []):
+        params = s.get("params") or {}
+        given = ", ".join(f"{k}={params[k]}" for k in sorted(params))
+        listed += [(i, s["action"], c, given, "strategy" in params) for c in (names_of(s) or [None])]
+    steps = spark.createDataFrame(listed, "step int, action string, column string, given string, chosen boolean")
     known = steps.join(profile.select("column", "dtype", "nulls"), "column", "left")
-    numeric = F.col("dtype").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
-    strategy = F.coalesce("strategy", F.when(numeric, "median").when(F.col("dtype") == "boolean", "constant").when(F.col("dtype").rlike("^(date|timestamp)"), "ffill").otherwise("empty_string"))
-    reason = F.when(F.col("action") == "impute", F.format_string("%s has %d missing values; %s fits %s data", F.coalesce("column", F.lit("?")), F.coalesce("nulls", F.lit(0)), strategy, F.coalesce("dtype", F.lit("unknown"))))
-    reason = reason.when(F.col("action") == "normalize", F.format_string("normalization of %s changes case and spaces only", F.coalesce("column", F.lit("?"))))
-    sure = F.when(F.col("action") == "impute", F.when(F.col("nulls") > 0, 0.8).otherwise(0.6)).when(F.col("action") == "normalize", F.when(F.col("dtype") == "string", 0.75).otherwise(0.6))
-    for action, (confidence, words) in REASONS.items():
-        reason = reason.when(F.col("action") == action, F.replace(F.lit(words), F.lit("{c}"), F.coalesce("column", F.lit("the columns"))))
+    kind, gaps = F.coalesce("dtype", F.lit("unknown")), F.coalesce("nulls", F.lit(0))
+    numeric = kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    usual = F.when(numeric, "median").when(kind == "boolean", "constant").when(kind.rlike("^(date|timestamp)"), "ffill").otherwise("empty_string")
+    impute, normal = F.col("action") == "impute", F.col("action") == "normalize"
+    usual = F.when(impute & ~F.col("chosen"), F.concat(F.lit("strategy="), usual))
+    given = F.concat_ws(", ", F.nullif("given", F.lit("")), usual)
+    met = F.when(F.col("column").isNull(), "the whole table").otherwise(F.concat("column", F.lit(" is "), kind, F.lit(" with "), gaps, F.lit(" missing")))
+    reason = F.concat_ws("; ", F.concat("action", F.lit(": "), met), F.nullif(given, F.lit("")))
+    sure = F.when(impute, F.when(gaps > 0, 0.8).otherwise(0.6)).when(normal, F.when(kind == "string", 0.75).otherwise(0.6))
+    for action, confidence in CONFIDENCE.items():
         sure = sure.when(F.col("action") == action, confidence)
-    return known.select("step", "action", "column", reason.otherwise("runs exactly as given").alias("reason"), sure.otherwise(0.3).alias("confidence")).orderBy("step", "column")
+    return known.select("step", "action", "column", reason.alias("reason"), sure.otherwise(0.3).alias("confidence")).orderBy("step", "column")

@@ -113,6 +113,9 @@ def link_buckets(
     finer: Test | None = None,
     known: DataFrame | None = None,
     ready: Callable[[DataFrame], None] | None = None,
+    screen: Callable[[DataFrame], DataFrame] | None = None,
+    detail: Callable[[DataFrame], DataFrame] | None = None,
+    closer: Test | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) of ids that share a bucket and that verify confirms.
 
@@ -120,7 +123,9 @@ def link_buckets(
     test: a cheap condition on the further columns of both sides, given as the prefixes "x_" and "y_" of their names;
     pairs that fail it are no candidates. refine: from (id) to finer buckets of those ids in which any two that verify would confirm
     still meet, with the condition finer in place of test. known: links that hold without proof; they are not returned.
-    ready: told the ids (id) that pairs can have, before verify is called.
+    ready: told the ids (id) that pairs can have, before verify is called. screen: thins out the pairs of the first hubs
+    before verify. detail: adds columns to the members of small buckets, whose pairs are then tested by closer within the
+    join, so that pairs without hope are never shuffled.
 
     Each bucket first tries its hub against all others. Where its members then form one component it is done: the pairs
     that were not tried lie within the component. Of the other buckets those of up to SMALL members, so at most
@@ -149,10 +154,11 @@ def link_buckets(
     members = shared_buckets(buckets, name)
     if ready:
         ready(members.select("id").distinct())
-    try_all(star_pairs(members, test))
+    stars = star_pairs(members, test)
+    try_all(screen(stars) if screen else stars)
     rows = unresolved(members, comps, name)
     small = rows.where(F.col("n") <= SMALL) if refine else rows
-    pairs = cross_pairs(small.drop("n"), test)
+    pairs = cross_pairs(detail(small.drop("n")), closer) if detail else cross_pairs(small.drop("n"), test)
     large = rows.where(F.col("n") > SMALL).select("id").distinct() if refine else None
     if large is None or large.isEmpty():
         if not rows.isEmpty():

@@ -186,3 +186,12 @@ def p19_json(s: SparkSession, d: str) -> DataFrame:
     made = privacy.redact_json(table(s, d, "customer").select("c_custkey", body.alias("body")), "body", "id long, user_name string, note string, items array<struct<email: string>>")
     part = lambda path, name: F.get_json_object("body", path).alias(name)
     return made.select("c_custkey", part("$.id", "id"), part("$.user_name", "user_name"), part("$.note", "note"), part("$.items[0].email", "nested"))
+
+
+@register("s17b_json_record_files", "SELECT s_suppkey, s_name FROM supplier")
+def s17b_json_record_files(s: SparkSession, d: str) -> DataFrame:
+    """A file with one JSON record over several lines for each supplier."""
+    path = scratch(s, "records")
+    body = F.to_json(F.struct("s_suppkey", "s_name"), {"pretty": "true"}).alias("value")
+    table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), body).write.partitionBy("file").text(path)
+    return readers.json_records(s, path).select("s_suppkey", "s_name")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import register, table
-from millrace.operators import aggregate, columns, impute, privacy, quality, rows
+from millrace.operators import aggregate, columns, impute, numeric, privacy, quality, rows
 from millrace.plans import preview
 
 # ---- aggregations
@@ -38,6 +38,38 @@ register("a06_quantiles_linear", "SELECT quantile_cont(o_totalprice, 0.25) AS q1
 register("a07_quantiles_discrete", "SELECT quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders")(lambda s, d: table(s, d, "orders").selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS q1", "percentile_disc(0.75) WITHIN GROUP (ORDER BY o_totalprice) AS q3"))
 register("a08_mean_deviation", "SELECT round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS deviation FROM orders")(lambda s, d: table(s, d, "orders").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("deviation")))
 
+A06B = """
+    WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.75) AS b FROM orders)
+    SELECT round(a - 1.5 * (b - a), 4) AS low, round(b + 1.5 * (b - a), 4) AS high FROM q
+"""
+A08B = """
+    SELECT round(avg(o_totalprice) - 2 * stddev_pop(o_totalprice), 4) AS low, round(avg(o_totalprice) + 2 * stddev_pop(o_totalprice), 4) AS high
+    FROM orders
+"""
+A07B = """
+    WITH q AS (SELECT quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders)
+    SELECT count(*) FILTER (o_totalprice <= q1) AS lower, any_value(q1) AS q1, any_value(q3) AS q3 FROM orders, q
+"""
+
+
+def rounded_bounds(s: SparkSession, d: str, method: str, multiplier: float) -> DataFrame:
+    found = numeric.outlier_bounds(table(s, d, "orders"), "o_totalprice", method, multiplier)
+    return found.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+register("a06b_quartile_bounds", A06B)(lambda s, d: rounded_bounds(s, d, "iqr", 1.5))
+register("a08b_deviation_bounds", A08B)(lambda s, d: rounded_bounds(s, d, "zscore", 2.0))
+
+
+@register("a07b_percentile_buckets", A07B)
+def a07b_buckets(s: SparkSession, d: str) -> DataFrame:
+    """The bounds of the buckets of percentiles, as the labelled rows show them."""
+    orders = table(s, d, "orders").select("o_totalprice", F.col("o_totalprice").alias("label"))
+    buckets = [{"pmin": 0, "pmax": 25, "label": "low"}, {"pmin": 25, "pmax": 75, "label": "mid"}]
+    made = numeric.percentile_bucketize(orders, "label", {"buckets": buckets})
+    top = lambda label: F.max(F.when(F.col("label") == label, F.col("o_totalprice")))
+    return made.agg(F.count_if(F.col("label") == "low").alias("lower"), top("low").alias("q1"), top("mid").alias("q3"))
+
 
 @register("a09_ols", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem")
 def a09_ols(s: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries of file sources and sinks against their SQL on the smallest tables."""
+"""The queries of file sources and sinks, and of bounds, against their SQL on the smallest tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from tests.test_catalog import pytestmark, sql, test_query_equals_sql  # noqa: F
 
 NAMES = (
     "s04_sniff_delimiter", "s06_encodings", "s10_shortcuts", "s11_ingest", "s14_reconstruct", "s18_duplicate_files", "k01_write_csv", "k02_replace_source", "k06_expire_snapshots", "k07_join_export", "k08_record_run",
-    "k09_write_long_form", "t05_latest_events", "p19_redact_json",
+    "k09_write_long_form", "t05_latest_events", "p19_redact_json", "s17b_json_record_files", "a06b_quartile_bounds", "a07b_percentile_buckets", "a08b_deviation_bounds",
 )
 check = test_query_equals_sql
 del test_query_equals_sql

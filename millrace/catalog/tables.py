@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,15 @@ from pyspark.sql import functions as F
 from millrace.catalog import register, table
 from millrace.operators import fuzzy, joins
 from millrace.operators.joins import JoinSpec
+from millrace.operators.rows import shared_folder
 from millrace.plans.recipe import Context, compile_recipe
 from millrace.sources import readers, writers
 from millrace.streaming import incremental
 
 
 def scratch(s: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session; a temporary one where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/catalog/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder of the session."""
+    return f"{shared_folder(s)}/catalog/{name}-{uuid.uuid4().hex}"
 
 
 def sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

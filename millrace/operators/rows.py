@@ -5,9 +5,11 @@ Tables have no order in Spark, so every operator here takes the columns that def
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.exprs import col
@@ -30,13 +32,22 @@ def range_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return stable(parts).withColumn("__local", F.row_number().over(local))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder where it is unset in a local session, as in tests. On a cluster it must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir; a folder of its own where that is unset, as in tests."""
+    """Checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

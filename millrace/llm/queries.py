@@ -73,6 +73,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -91,7 +97,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_fingerprints, op2_warc, op3_mixing, op4_suffix_dedup, op5_packing, op6_toxicity, op7_chat, op8_line_dedup, op9_near_duplicates, op10_media, op12_hard_negatives, op13_decontaminate)
+    named = (op1_fingerprints, op2_warc, op3_mixing, op4_suffix_dedup, op5_packing, op6_toxicity, op7_chat, op8_line_dedup, op9_near_duplicates, op10_media, op11_collocations, op12_hard_negatives, op13_decontaminate)
     return {f.__name__: f for f in named}
 
 
@@ -141,6 +147,37 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM s JOIN c ON s.doc_id = c.id
     """,
+    "op11_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces
+        ), runs AS (
+            SELECT lang, m, array_to_string(w[j:j + m - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS j FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m))
+        ), f AS (
+            SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m > 1),
+        cuts AS (
+            SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM c) AS c
+            JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+        ), inner_parts AS (
+            SELECT lang, phrase, max(longer) AS longer
+            FROM (
+                SELECT lang, a AS longer, array_to_string(w[j:j + s - 1], ' ') AS phrase
+                FROM (SELECT *, unnest(range(1, m - s + 2)) AS j FROM (SELECT *, unnest(range(2, m)) AS s FROM c WHERE m > 2))
+            ) GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+        FROM cuts LEFT JOIN inner_parts USING (lang, phrase) JOIN totals USING (lang)
+        WHERE longer IS NULL OR 100 * longer < 80 * a
+        QUALIFY rank <= 2000
+    """,
     "op12_hard_negatives": """
         WITH e AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v

@@ -31,6 +31,8 @@ ANCHORS, PAIRS = 16_384, 1 << 21
 SPARSE = 0.2
 #: Largest sum that doubles add up exactly.
 EXACT = 2.0**53
+#: The range of scores.
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 STORED = "id long, key long, label long, vector binary, summary binary, anchor boolean"
 
 
@@ -126,7 +128,7 @@ class Best:
     def __init__(self, slots: int, k: int) -> None:
         self.k, self.slot = k, np.zeros(0, dtype=np.int64)
         self.score = self.key = self.id = self.slot
-        self.least = np.full(slots, -np.inf)  # the k-th score of slots that are full
+        self.least = np.full(slots, LOWEST)  # the k-th score of slots that are full
 
     def add(self, slot: np.ndarray, score: np.ndarray, key: np.ndarray, number: np.ndarray) -> None:
         new = score >= self.least[slot]
@@ -170,7 +172,7 @@ def scan_positives(rows: DataFrame, anchors: Rows, size: int, k: int) -> DataFra
                 step = max(1, PAIRS // max(len(own), 1))
                 for p in range(0, len(at) if len(own) else 0, step):
                     few, mine = rows.pick(at[p : p + step]), anchors.pick(own)
-                    i, j, score = scored(mine, few, best.least[own], np.full(len(own), np.inf), mine.id[:, None] != few.id)
+                    i, j, score = scored(mine, few, best.least[own], np.full(len(own), HIGHEST), mine.id[:, None] != few.id)
                     best.add(own[i], score, few.key[j], few.id[j])
         yield best.batch()
 
@@ -192,7 +194,7 @@ def scan_negatives(rows: DataFrame, anchors: Rows, size: int, low: np.ndarray, h
             for p in range(0, len(rows.id) if n else 0, step):
                 few = rows.pick(np.arange(p, min(p + step, len(rows.id))))
                 floor = np.maximum(low, best.least.reshape(n, positives))
-                i, j, score = scored(anchors, few, np.where(low <= high, floor, np.inf).min(axis=1), np.where(low <= high, high, -np.inf).max(axis=1), anchors.label[:, None] != few.label)
+                i, j, score = scored(anchors, few, np.where(low <= high, floor, HIGHEST).min(axis=1), np.where(low <= high, high, LOWEST).max(axis=1), anchors.label[:, None] != few.label)
                 for c in range(positives):
                     fits = (score >= floor[i, c]) & (score <= high[i, c])
                     best.add(i[fits] * positives + c, score[fits], few.key[j[fits]], few.id[j[fits]])
@@ -236,13 +238,12 @@ def hard_negatives(
     done: list[DataFrame] = []
     for anchors in anchor_blocks(rows, size, most):
         found = scan_positives(rows, anchors, size, positives).orderBy("slot", "rank").collect()  # positives of one block: a bounded number
-        score = np.zeros((len(anchors.id), positives), dtype=np.int64)
-        there = np.zeros(score.shape, dtype=bool)
+        least, largest = np.ones((len(anchors.id), positives), dtype=np.int64), np.zeros((len(anchors.id), positives), dtype=np.int64)
         for r in found:
-            score[r.slot, r.rank - 1], there[r.slot, r.rank - 1] = r.score, True
-        least, largest = -((-low * score) // 100), high * score // 100
-        bad = ~there | (least > largest)
-        mined = scan_negatives(rows, anchors, size, np.where(bad, 1.0, least), np.where(bad, 0.0, largest), negatives)
+            bounds = -((-low * r.score) // 100), high * r.score // 100
+            if bounds[0] <= bounds[1]:
+                least[r.slot, r.rank - 1], largest[r.slot, r.rank - 1] = max(bounds[0], LOWEST), min(bounds[1], HIGHEST)
+        mined = scan_negatives(rows, anchors, size, least, largest, negatives)
         schema = "slot long, anchor long, positive long, positive_score long"
         told = spark.createDataFrame([(r.slot * positives + r.rank - 1, int(anchors.key[r.slot]), r.key, r.score) for r in found], schema)
         named = mined.join(told, "slot").select("anchor", "positive", F.col("rank"), F.col("key").alias("negative"), "positive_score", F.col("score").alias("negative_score"))

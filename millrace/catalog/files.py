@@ -29,6 +29,15 @@ def s04_sniff(s: SparkSession, d: str) -> DataFrame:
     return kept.select(F.lit(sep).alias("delimiter"), fields[0].alias("first"), F.size(fields).alias("n_fields"))
 
 
+@register("s01b_quoted_newlines", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang FROM documents")
+def s01b_quoted(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts, with their newlines and quotes, as values of delimited files that are read in splits."""
+    path = scratch(s, "quoted")
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(s, d, "documents").select("doc_id", "text", "lang").write.options(**kept).csv(path)
+    return readers.read_delimited(s, path, ",", infer=False)
+
+
 @register("s06_encodings", "SELECT c_name || ' café' AS text FROM customer")
 def s06_encodings(s: SparkSession, d: str) -> DataFrame:
     """Lines of files in a one-byte encoding, which the reader has to find out."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.exprs import NULL_TOKENS, col, is_numeric_text, parse_date
+from millrace.sources.delimited import read_quoted
 
 SEPARATORS = (",", "\t", ";")
 #: The fields of the long form.
@@ -44,12 +45,12 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True) -> DataFrame:
     """A text table with header. sep None: the first of comma, tab and semicolon that the header holds, else one column
-    `value` without header. Ragged rows are cut or filled with null; NA, N/A, null, None and "" are null."""
+    `value` without header. Ragged rows are cut or filled with null; NA, N/A, null, None and "" are null. Files are read in
+    splits, those with quoted newlines too (see delimited.py)."""
     sep = sep or choose_separator(spark, path)
     if sep is None:
         return nulls(spark.read.text(path))
-    df = spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", multiLine=True, escape='"', quote='"')
-    df = nulls(df)
+    df = nulls(read_quoted(spark, path, sep))
     return infer_types(df) if infer else df
 
 

@@ -92,6 +92,28 @@ def s14_reconstruct(s: SparkSession, d: str) -> DataFrame:
     return readers.reconstruct(lines.union(numbers)).where("col_2 != '0'").select("col_1", "col_2")
 
 
+def database(s: SparkSession, name: str) -> str:
+    """A URI's path of a new embedded database file, which one process opens at a time: for local sessions."""
+    return scratch(s, name).removeprefix("file:").replace("///", "/", 1)
+
+
+@register("s15_database", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey < 500")
+def s15_database(s: SparkSession, d: str) -> DataFrame:
+    """Orders of a database file, read by ranges of the order key, with a filter and columns that the database gets."""
+    path = database(s, "database")
+    table(s, d, "orders").write.jdbc(f"jdbc:derby:{path};create=true", "orders")
+    return readers.read_source(s, f"derby:{path}?table=orders&key=o_orderkey&rows=4000").where("o_custkey < 500").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@register("k07b_join_database", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def k07b_join_database(s: SparkSession, d: str) -> DataFrame:
+    """A join exported to a database table and read back."""
+    path = database(s, "exported")
+    joined = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    writers.write_jdbc(joined, f"jdbc:derby:{path};create=true")
+    return readers.read_source(s, f"derby:{path}?query=SELECT%20*%20FROM%20joined")
+
+
 S18 = """
     SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS length, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS hash, CAST(2 AS INTEGER) AS n
     FROM customer GROUP BY c_nationkey

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.exprs import NULL_TOKENS, col, is_numeric_text, parse_date
+from millrace.sources.database import read_database
 from millrace.sources.delimited import read_quoted
 
+DATABASES = ("sqlite", "duckdb", "derby")
 SEPARATORS = (",", "\t", ";")
 #: The fields of the long form.
 LONG_FORM = T.StructType(
@@ -217,17 +219,16 @@ def reconstruct(df: DataFrame) -> DataFrame:
 
 
 def read_source(spark: SparkSession, uri: str) -> DataFrame:
-    """A table by URI: paths, file:, s3: and http(s): files by suffix; sqlite: and duckdb: by table= or query= over JDBC,
-    with the user's driver."""
+    """A table by URI: paths, file:, s3: and http(s): files by suffix; sqlite:, duckdb: and derby: by table= or query= over
+    JDBC, with the user's driver, in ranges of key= of about rows= rows (see database.py)."""
     u = urlparse(uri)
-    if u.scheme in ("sqlite", "duckdb"):
-        q = parse_qs(u.query)
-        reader = spark.read.format("jdbc").option("url", f"jdbc:{u.scheme}:{u.path[1:] if u.path.startswith('//') else u.path}")
-        if "query" in q:
-            return reader.option("query", q["query"][0]).load()
-        if "table" not in q:
+    if u.scheme in DATABASES:
+        q = {k: v[0] for k, v in parse_qs(u.query).items()}
+        if ("query" in q) == ("table" in q):
             raise ValueError("a database URI needs table= or query=")
-        return reader.option("dbtable", q["table"][0]).load()
+        file = u.path[1:] if u.path.startswith("//") else u.path
+        more = {"rows": int(q["rows"])} if "rows" in q else {}
+        return read_database(spark, f"jdbc:{u.scheme}:{file}", q.get("table"), q.get("query"), q.get("key"), **more)
     path = uri.replace("s3://", "s3a://", 1) if u.scheme == "s3" else uri
     return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_delimited(spark, path)
 

@@ -11,6 +11,7 @@ from millrace.catalog import register, table
 from millrace.catalog.tables import line_files, scratch
 from millrace.operators import privacy, rows
 from millrace.sources import readers, writers
+from millrace.sources.versioned import VersionedTable, delete_subject_files
 
 # ---- sources
 
@@ -168,6 +169,49 @@ def k07_join_export(s: SparkSession, d: str) -> DataFrame:
     return s.read.csv(writers.write_table(joined.select("c_custkey", "n_name"), scratch(s, "joined"), "csv"), header=True)
 
 
+def versioned(s: SparkSession, name: str) -> VersionedTable:
+    return VersionedTable(s, scratch(s, name))
+
+
+@register("k04b_version_rollback", "SELECT c_custkey, c_name, c_acctbal, CAST(0 AS BIGINT) AS files_written, CAST(6 AS BIGINT) AS version FROM customer")
+def k04b_versions(s: SparkSession, d: str) -> DataFrame:
+    """A table of versions: a snapshot without a file of its own, an append, a change, and the way back."""
+    t, customer = versioned(s, "versions"), table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    t.overwrite(customer.where("c_acctbal < 0"))
+    t.append(customer.where("c_acctbal >= 0 OR c_acctbal IS NULL"))
+    kept = t.snapshot()
+    new = t.manifest(kept).where("file IS NOT NULL").join(t.manifest(kept - 1), "file", "left_anti").count()
+    t.append(customer)
+    t.overwrite(t.read().where("c_custkey IS NULL"))
+    version = t.rollback(kept)
+    return t.read().withColumns({"files_written": F.lit(new).cast("long"), "version": F.lit(version).cast("long")})
+
+
+@register("k06b_expire_versions", "SELECT p_partkey, p_name, CAST(2 AS BIGINT) AS versions, true AS earlier_kept FROM part WHERE p_partkey > 50")
+def k06b_expire(s: SparkSession, d: str) -> DataFrame:
+    """Old versions go, but not the files that a later one still names."""
+    t, part = versioned(s, "expire-versions"), table(s, d, "part").select("p_partkey", "p_name")
+    old, now = datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 6, 30, tzinfo=UTC)
+    t.overwrite(part, old)
+    kept = t.snapshot(now)
+    t.delete_where(F.col("p_partkey") <= 50, now)
+    t.expire(30, now)
+    same = t.read(kept).exceptAll(part).isEmpty()
+    return t.read().withColumns({"versions": F.lit(len(t.versions())).cast("long"), "earlier_kept": F.lit(same)})
+
+
+@register("p16b_subject_deletion_files", "SELECT event_id, user_id, true AS others_untouched FROM events WHERE user_id <> 7 OR user_id IS NULL")
+def p16b_deletion(s: SparkSession, d: str) -> DataFrame:
+    """A user's events deleted from a table of files; others_untouched: the files without that user keep their names."""
+    t, events = versioned(s, "events"), table(s, d, "events").select("event_id", "user_id")
+    before = t.overwrite(events.repartitionByRange(8, "user_id"))
+    parts = F.split("_metadata.file_path", "/")
+    held = t.read(before).where("user_id = 7").select(F.concat(F.lit("data/"), F.element_at(parts, -2), F.lit("/"), F.element_at(parts, -1)).alias("file")).distinct()
+    version, _ = delete_subject_files(t, "user_id", 7, "event_id")
+    gone = t.manifest(before).where("file IS NOT NULL").join(t.manifest(version), "file", "left_anti").select("file")
+    return t.read().withColumn("others_untouched", F.lit(gone.exceptAll(held).isEmpty()))
+
+
 K08 = """
     SELECT 'customers' AS recipe_id, 'completed' AS status, 'parquet' AS export_format, CAST(count(*) AS VARCHAR) || ' rows' AS diagnostics FROM customer
 """

@@ -195,10 +195,14 @@ def compile_recipe(df: DataFrame, recipe: Mapping[str, Any], context: Context |
 
 
 def apply_recipe(spark: SparkSession, recipe: Mapping[str, Any], snapshots: str | None = None, runs: str | None = None) -> dict[str, Any]:
-    """Read the first source, compile, keep a snapshot of the source if a folder is given, write the output in one go."""
+    """Read the first source, compile, keep a snapshot of the source if a folder is given, write the output in one go.
+
+    Of a table of versions the snapshot is a further version, which copies no file.
+    """
     from datetime import UTC, datetime
 
     from millrace.sources.readers import read_source, reconstruct
+    from millrace.sources.versioned import versioned_table
     from millrace.sources.writers import record_run, snapshot, write_table
 
     started = datetime.now(UTC)
@@ -209,7 +213,12 @@ def apply_recipe(spark: SparkSession, recipe: Mapping[str, Any], snapshots: str
             raise ValueError(f"the source lacks columns {drift['missing']}")
     context = Context(order=recipe.get("order"))
     made = compile_recipe(source, recipe, context)
-    kept = snapshot(source, snapshots, "source") if snapshots else None
+    kept = None
+    if snapshots and recipe["sources"][0]["path"].startswith("versioned:"):
+        versioned, version = versioned_table(spark, recipe["sources"][0]["path"])
+        kept = f"versioned:{versioned.path}@{version or versioned.snapshot()}"
+    elif snapshots:
+        kept = snapshot(source, snapshots, "source")
     output = recipe["outputs"][0]["path"]
     kind = "parquet" if output.rstrip("/").endswith(".parquet") else "csv"
     write_table(made, output, kind)

@@ -220,7 +220,13 @@ def reconstruct(df: DataFrame) -> DataFrame:
 
 def read_source(spark: SparkSession, uri: str) -> DataFrame:
     """A table by URI: paths, file:, s3: and http(s): files by suffix; sqlite:, duckdb: and derby: by table= or query= over
-    JDBC, with the user's driver, in ranges of key= of about rows= rows (see database.py)."""
+    JDBC, with the user's driver, in ranges of key= of about rows= rows (see database.py); versioned: a table of versions,
+    with @ and a number one of them (see versioned.py)."""
+    if uri.startswith("versioned:"):
+        from millrace.sources.versioned import versioned_table
+
+        versioned, version = versioned_table(spark, uri)
+        return versioned.read(version)
     u = urlparse(uri)
     if u.scheme in DATABASES:
         q = {k: v[0] for k, v in parse_qs(u.query).items()}

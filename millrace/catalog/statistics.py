@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import register, table
-from millrace.operators import aggregate, columns, impute, numeric, privacy, quality, rows
+from millrace.operators import aggregate, columns, impute, numeric, privacy, quality, ranks, rows
 from millrace.plans import preview
 
 # ---- aggregations
@@ -27,15 +27,27 @@ def gaps(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").selectExpr(*GAP_COLUMNS)
 
 
+def scalars(s: SparkSession, d: str) -> DataFrame:
+    """Mean, median and mode, the latter two without a task that holds all values."""
+    lines, quantity = table(s, d, "lineitem"), F.col("l_quantity")
+    median = F.lit(ranks.percentiles(lines, quantity, [0.5])[0]).alias("median")
+    return lines.agg(F.round(F.avg(quantity), 6).alias("mean")).join(F.broadcast(ranks.mode(lines, quantity))).select("mean", median, F.col("v").alias("mode"))
+
+
+def quartiles(s: SparkSession, d: str, kind: str) -> DataFrame:
+    found = ranks.percentiles(table(s, d, "orders"), F.col("o_totalprice"), [0.25, 0.75], kind)
+    return s.createDataFrame([tuple(found)], "q1 double, q3 double")
+
+
 PROFILED = ("q", "t", "l_returnflag")
 register("a02_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS \"unique\" FROM g" for c in PROFILED).join([f"WITH g AS ({GAPS}) ", ""]))(lambda s, d: aggregate.profile(gaps(s, d).select(*PROFILED)).select("column", "nulls", "unique"))
 register("a03_inspect", f"WITH g AS ({GAPS}) SELECT 't' AS \"column\", count_if(t = '') AS missing_count, round(count_if(t = '') * 100.0 / count(*), 2) AS missing_pct, count(DISTINCT CASE WHEN t <> '' THEN t END) AS unique_count, false AS mixed_type, count(DISTINCT CASE WHEN t <> '' THEN t END) <= 1 AS constant, (SELECT array_to_string(list(id ORDER BY id), ',') FROM (SELECT id FROM g WHERE t = '' ORDER BY id LIMIT 20)) AS positions FROM g")(
     lambda s, d: aggregate.inspect(gaps(s, d).select("id", "t"), "id").withColumn("positions", F.array_join("missing_positions", ",")).drop("missing_positions")
 )
-register("a04_scalars", "SELECT round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, (SELECT l_quantity FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM lineitem")(lambda s, d: table(s, d, "lineitem").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.median("l_quantity").alias("median"), F.mode("l_quantity", True).alias("mode")))
+register("a04_scalars", "SELECT round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, (SELECT l_quantity FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM lineitem")(lambda s, d: scalars(s, d))
 register("a05_group_median", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median FROM lineitem GROUP BY 1")(lambda s, d: aggregate.groupby(table(s, d, "lineitem"), "l_returnflag", [{"column": "l_quantity", "op": "mean", "as": "mean"}, {"column": "l_quantity", "op": "median", "as": "median"}]).withColumn("mean", F.round("mean", 6)))
-register("a06_quantiles_linear", "SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders")(lambda s, d: table(s, d, "orders").agg(F.percentile("o_totalprice", 0.25).alias("q1"), F.percentile("o_totalprice", 0.75).alias("q3")))
-register("a07_quantiles_discrete", "SELECT quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders")(lambda s, d: table(s, d, "orders").selectExpr("percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS q1", "percentile_disc(0.75) WITHIN GROUP (ORDER BY o_totalprice) AS q3"))
+register("a06_quantiles_linear", "SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders")(lambda s, d: quartiles(s, d, "linear"))
+register("a07_quantiles_discrete", "SELECT quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders")(lambda s, d: quartiles(s, d, "disc"))
 register("a08_mean_deviation", "SELECT round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS deviation FROM orders")(lambda s, d: table(s, d, "orders").agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_pop("o_totalprice"), 4).alias("deviation")))
 
 A06B = """

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.exprs import col, is_meta, is_missing
 from millrace.operators.numeric import number_of, one_row
+from millrace.operators.ranks import group_medians, mode, percentiles
 from millrace.operators.rows import fill
 
 ALIASES = {"forward_fill": "ffill", "backfill": "bfill", "most_common": "mode", "average": "mean", "robust_impute": "group_median"}
@@ -50,15 +51,17 @@ def impute(df: DataFrame, column: str, params: Mapping[str, Any], order: Any = N
         return df.withColumn(column, F.when(gap, F.lit("")).otherwise(col(column).cast("string")))
     if how == "mode":
         own = F.when(~is_missing(col(source), sentinels), col(source))
-        return put(one_row(df, df.agg(F.mode(own, True).alias("__v"))), F.col("__v"))
+        return put(one_row(df, mode(df, own).select(F.col("v").alias("__v"))), F.col("__v"))
     if how in ("mean", "median", "group_median"):
         n = F.when(~is_missing(col(source), sentinels), number_of(df, source))
-        pick = F.avg(n) if how == "mean" else F.median(n)
         if groups:
-            found = df.groupBy(*[col(g) for g in groups]).agg(pick.alias("__v")).select(*[col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__v")
+            found = df.groupBy(*[col(g) for g in groups]).agg(F.avg(n).alias("v")) if how == "mean" else group_medians(df, groups, n)
+            found = found.select(*[col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("v").alias("__v"))
             same = [col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
             return put(df.join(found, same, "left"), F.col("__v"))
-        return put(one_row(df, df.agg(pick.alias("__v"))), F.col("__v"))
+        if how == "mean":
+            return put(one_row(df, df.agg(F.avg(n).alias("__v"))), F.col("__v"))
+        return put(df, F.lit(percentiles(df, n, [0.5])[0]).cast("double"))
     if how == "row_mean":
         values = F.filter(F.array(*(number_of(df, s) for s in params.get("sources") or [])), lambda x: x.isNotNull())
         return put(df, F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.exprs import col, parse_number, plain_number
+from millrace.operators.ranks import at_ranks, percentiles
 from millrace.operators.types import to_double
 
 #: The rates that stand in where a step gives none.
@@ -70,19 +71,15 @@ def bucketize(df: DataFrame, column: str, params: Mapping[str, Any]) -> DataFram
 
 
 def percentile_bucketize(df: DataFrame, column: str, params: Mapping[str, Any]) -> DataFrame:
-    """buckets [{pmin, pmax, label}], bounds as discrete percentiles (0 to 100, or 0 to 1), both inclusive.
-
-    The bounds are one aggregate row that is joined to all rows, so nothing is collected.
-    """
+    """buckets [{pmin, pmax, label}], bounds as exact discrete percentiles (0 to 100, or 0 to 1), both inclusive."""
     buckets = params.get("buckets") or []
     scale = lambda p: float(p) / 100 if float(p) > 1 else float(p)
     n = number_of(df, column)
-    disc = lambda p: F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY __n)")
-    bounds = df.select(n.alias("__n")).agg(*(disc(scale(b.get(k, d))).alias(f"__{k}{i}") for i, b in enumerate(buckets) for k, d in (("pmin", 0), ("pmax", 100))))
+    bounds = percentiles(df, n, [scale(b.get(k, d)) for b in buckets for k, d in (("pmin", 0), ("pmax", 100))], "disc")
     made = F.when(F.lit(False), F.lit(""))
-    for i, b in enumerate(buckets):
-        made = made.when(n.between(F.col(f"__pmin{i}"), F.col(f"__pmax{i}")), F.lit(str(b["label"])))
-    return one_row(df, bounds).withColumn(column, made.otherwise(col(column).cast("string"))).select(*[col(c) for c in df.columns])
+    for b, low, high in zip(buckets, bounds[::2], bounds[1::2], strict=True):
+        made = made.when(n.between(low, high), F.lit(str(b["label"])))
+    return df.withColumn(column, made.otherwise(col(column).cast("string")))
 
 
 def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -127,30 +124,18 @@ def suggest_buckets(df: DataFrame, column: str, method: str = "quantile", n: int
 
 
 def quantile_edges(values: DataFrame, shares: Sequence[float]) -> list[float]:
-    """The exact values of v at ranks floor(share * (count - 1)): counts per value, then running sums over the distinct
-    values, so only distinct values are sorted."""
+    """The exact values of v at ranks floor(share * (count - 1))."""
     total = values.count()
-    if not total:
-        return []
-    ranks = [int(p * (total - 1)) for p in shares]
-    counts = values.groupBy("v").count()
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        before = parts.groupBy("part").agg(F.sum("count").alias("own"))
-        before = before.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("base"))
-        upto = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("base") + F.sum("count").over(Window.partitionBy("part").orderBy("v")))
-        row = upto.agg(*(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks))).first()
-        return list(row)
-    finally:
-        parts.unpersist()
+    return at_ranks(values, F.col("v"), [int(p * (total - 1)) for p in shares]) if total else []
 
 
 def outlier_bounds(df: DataFrame, column: str, method: str, multiplier: float) -> DataFrame:
     """One row (low, high): quartiles -/+ multiplier * their distance, or mean -/+ multiplier * population deviation."""
     values = df.select(number_of(df, column).alias("v"))
     if method == "iqr":
-        q = values.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
-        return q.select((F.col("a") - multiplier * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + multiplier * (F.col("b") - F.col("a"))).alias("high"))
+        a, b = percentiles(values, F.col("v"), [0.25, 0.75])
+        rows = [(None, None) if a is None else (a - multiplier * (b - a), b + multiplier * (b - a))]
+        return df.sparkSession.createDataFrame(rows, "low double, high double")
     return values.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).select((F.col("m") - multiplier * F.col("s")).alias("low"), (F.col("m") + multiplier * F.col("s")).alias("high"))
 
 

@@ -90,6 +90,23 @@ def tagged(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     return out, [F.col(f"own{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
+def own_keys(docs: DataFrame) -> DataFrame:
+    """docs (key, text, ...) with a key of its own for each text, in the order of keys.
+
+    Texts that share a key, as those without id do, come in the order of their hash. Equal texts under one key stay one.
+    Where no key has several texts, docs is given back as it is.
+    """
+    from millrace.operators.rows import with_row_index
+
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    if docs.groupBy("key").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a != b").isEmpty():
+        return docs
+    pairs = docs.select("key", mark.alias("mark")).distinct()
+    placed = with_row_index(pairs, "place", ["key", "mark"])
+    others = [c for c in docs.columns if c != "key"]
+    return docs.withColumn("mark", mark).join(placed, ["key", "mark"]).select(F.col("place").cast("long").alias("key"), *others)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of so many rows for the jobs within, for wide rows; the session's own setting is put back."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import EXACT, POWERS, id_back, id_key, materialise, mix, prefix_sums, salts, slices, span_hashes, utf8, width
+from millrace.llm.shared import EXACT, POWERS, id_back, id_key, materialise, mix, own_keys, prefix_sums, salts, slices, span_hashes, utf8, width
 
 LENGTH, GRAM = 100, 32
 #: Documents from which splitters are drawn; they affect balance alone.
@@ -296,9 +296,10 @@ OTHER = salts(256, 22)
 
 
 def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents with key and text, removed spans (doc, lo, hi) in bytes, overlapping ones not yet united)."""
+    """(documents with key, id and text, removed spans (doc, lo, hi) in bytes, overlapping ones not yet united); a key is the
+    id, or a number in the order of ids where an id has several texts."""
     buckets = width(df.sparkSession)
-    docs = df.select(id_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = own_keys(df.select(id_key().alias("key"), id_key().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     told = lambda rows: rows.where("NOT repeat").select("doc", "place").distinct()
     found = materialise(compare(suffix_rows(docs, splitters(docs, buckets, length, gram), buckets, length, gram), buckets), "suffix-runs")
     cut = materialise(compare(told_rows(docs, told(found), buckets, halves(length, gram)), buckets), "suffix-halves")
@@ -322,20 +323,21 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of (doc_id, text).
 
     kept is the remaining bytes (a cut may fall within a character). A null text is empty; a null doc_id is before all
-    others and stays null; rows of one doc_id count as one place, so a repeated row is not an earlier copy of itself;
-    other columns are not read; an empty table gives no rows.
+    others and stays null; equal rows count as one place, so a repeated row is not an earlier copy of itself; different texts
+    of one doc_id, or without one, are documents of their own, in the order of a hash; other columns are not read; an empty
+    table gives no rows.
     """
     docs, spans = repeated_spans(df, length, gram)
     per_doc = spans.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    have = docs.join(per_doc, docs["key"] == per_doc["doc"], "left").select("key", "text", "lo", "hi")
-    schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    have = docs.join(per_doc, docs["key"] == per_doc["doc"], "left").select("id", "text", "lo", "hi")
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             low, high = batch.column("lo"), batch.column("hi")
             rows, held = [], 0
-            keys = batch.column("key").to_pylist()
+            keys = batch.column("id").to_pylist()
             for i, key in enumerate(keys):
                 text = data[offsets[i] : offsets[i + 1]]
                 n_removed = n_spans = 0
@@ -362,4 +364,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     made = have.mapInArrow(run, schema)
-    return made.select(id_back(F.col("key")).alias("doc_id"), *made.columns[1:])
+    return made.select(id_back(F.col("id")).alias("doc_id"), *made.columns[1:])

@@ -21,7 +21,7 @@ META_COLUMNS = (
 )
 #: Currency symbols that a number may bear.
 CURRENCY = "$£€¥₹"
-#: Date patterns in the order in which they are tried; month first where day and month are ambiguous.
+#: Date patterns in the order in which they are tried; month first where day and month are ambiguous.
 DATE_FORMATS = (
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "M/d/yyyy", "d/M/yyyy",
     "d-M-yyyy", "yyyy/MM/dd", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMM-yy",
@@ -94,17 +94,28 @@ def java_pattern(strftime: str) -> str:
     return out
 
 
+#: What the text for a run of pattern letters looks like; runs that are not named match anything.
+SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3,4}", "MMMM": "[A-Za-z]{3,9}", "XXX": r"(Z|[+-]\d{2}:\d{2})"} | {c: r"\d{1,2}" for c in "MdHhms"} | {c * 2: r"\d{2}" for c in "MdHhms"}
+
+
+def date_shape(pattern: str) -> str:
+    """A regular expression that all texts of a date pattern match."""
+    out = ""
+    for part in re.finditer(r"'(?P<quoted>[^']*)'|(?P<letters>(?P<one>[A-Za-z])(?P=one)*)|(?P<other>[^A-Za-z'])", pattern):
+        text = part["quoted"] if part["quoted"] is not None else part["other"]
+        out += re.escape(text) if text is not None else SHAPES.get(part["letters"], ".*")
+    return f"^{out}$"
+
+
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The timestamp in a text by the first pattern that fits, else null."""
+    """The timestamp in a text by the first pattern that fits, else null. Only patterns of the text's shape are tried."""
     text = F.trim(c.cast("string"))
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats)).cast("timestamp_ntz")
+    return F.coalesce(*(F.when(text.rlike(date_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats)).cast("timestamp_ntz")
 
 
-def is_date_text(c: Column) -> Column:
-    """Whether a text looks like a date: ISO, dd/mm/yyyy or d Mon yyyy by form, else one that parses."""
-    text = F.trim(c.cast("string"))
-    form = text.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$")
-    return F.coalesce(form | parse_date(c).isNotNull(), F.lit(False))
+def is_date(c: Column) -> Column:
+    """Whether a text is a date of one of the known patterns."""
+    return parse_date(c).isNotNull()
 
 
 def is_text(c: Column) -> Column:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import col, is_blank, is_date_text, is_numeric_text
+from millrace.functions.exprs import col, is_blank, is_date, is_numeric_text
 
 
 def looks(c: Column, kind: str, exceptions: Iterable[str] = ()) -> Column:
@@ -16,7 +16,7 @@ def looks(c: Column, kind: str, exceptions: Iterable[str] = ()) -> Column:
     kind = kind.lower()
     if kind not in ("numeric", "number", "string", "text", "date"):
         raise ValueError(f"unknown kind {kind!r}")
-    date = is_date_text(c)
+    date = is_date(c)
     mask = date if kind == "date" else is_numeric_text(c) if kind in ("numeric", "number") else ~is_blank(c) & ~is_numeric_text(c)
     for e in exceptions:
         mask = mask & ~looks(c, e)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.exprs import capitalise, col, is_date_text, literal_replacement, pattern, replacement, title_case
+from millrace.functions.exprs import capitalise, col, is_date, literal_replacement, pattern, replacement, title_case
 
 CASES = {"lower": F.lower, "upper": F.upper, "capitalize": capitalise, "title": title_case, "preserve": lambda c: c, "trim": lambda c: c}
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
@@ -116,7 +116,7 @@ def kind_of(c: Column) -> Column:
     return (
         F.when(c.isNull() | (text == ""), None)
         .when(text.contains("@") & text.contains("."), "email")
-        .when(is_date_text(c), "date")
+        .when(is_date(c), "date")
         .when(text.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), "numeric")
         .when(text.rlike(r"\d{5}(-\d{4})?"), "postal")
         .when(text.contains(","), "address")

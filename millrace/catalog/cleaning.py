@@ -149,7 +149,27 @@ register("n14_suggest_quantile", """
     WITH v AS (SELECT CAST(p_size AS DOUBLE) AS v, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part), e AS (SELECT k, min(v) AS edge FROM v, range(0, 5) t(k) WHERE i = CAST(floor(k / 4.0 * (n - 1)) AS BIGINT) GROUP BY k)
     SELECT 'b' || CAST(a.k + 1 AS VARCHAR) AS label, a.edge AS min, b.edge AS max, CAST(a.k / 4.0 AS DOUBLE) AS pmin, CAST(b.k / 4.0 AS DOUBLE) AS pmax FROM e a JOIN e b ON b.k = a.k + 1""")(lambda s, d: numeric.suggest_buckets(table(s, d, "part"), "p_size", "quantile", 4))
 register("n15_suggest_equal", "SELECT 'b' || CAST(k + 1 AS VARCHAR) AS label, CASE WHEN k > 0 THEN lo + (hi - lo) * (k / 4.0) END AS min, CASE WHEN k < 3 THEN lo + (hi - lo) * ((k + 1) / 4.0) END AS max, CAST(NULL AS DOUBLE) AS pmin, CAST(NULL AS DOUBLE) AS pmax FROM (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), range(0, 4) t(k)")(lambda s, d: numeric.suggest_buckets(table(s, d, "customer"), "c_acctbal", "equal", 4))
-register("n16_suggest_kmeans")(lambda s, d: numeric.suggest_buckets(table(s, d, "part"), "p_retailprice", "kmeans", 3))
+N16 = """
+    WITH b AS (SELECT avg(CAST(p_retailprice AS DOUBLE)) AS m FROM part),
+    v AS (SELECT CAST(p_retailprice AS DOUBLE) - m AS v, count(*) AS n FROM part, b GROUP BY 1),
+    p AS (SELECT row_number() OVER w AS i, sum(n) OVER w AS c, sum(n * v) OVER w AS s FROM v WINDOW w AS (ORDER BY v)),
+    t AS (SELECT i, c, s FROM p ORDER BY i DESC LIMIT 1),
+    best AS (
+        SELECT x.s / x.c AS a, (y.s - x.s) / (y.c - x.c) AS b, (t.s - y.s) / (t.c - y.c) AS c
+        FROM p AS x JOIN p AS y ON x.i < y.i JOIN t ON y.i < t.i
+        ORDER BY round(x.s * x.s / x.c + (y.s - x.s) * (y.s - x.s) / (y.c - x.c) + (t.s - y.s) * (t.s - y.s) / (t.c - y.c), 4) DESC, y.i, x.i LIMIT 1
+    ), cuts AS (SELECT round((best.a + best.b) / 2 + m, 4) AS x, round((best.b + best.c) / 2 + m, 4) AS y FROM best, b)
+    SELECT 'b1' AS label, CAST(NULL AS DOUBLE) AS min, x AS max FROM cuts UNION ALL SELECT 'b2', x, y FROM cuts UNION ALL SELECT 'b3', y, NULL FROM cuts
+"""
+
+
+@register("n16_suggest_kmeans", N16)
+def n16_kmeans(s: SparkSession, d: str) -> DataFrame:
+    """The best three clusters of prices."""
+    found = numeric.suggest_buckets(table(s, d, "part"), "p_retailprice", "kmeans", 3)
+    return found.select("label", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"))
+
+
 step("n17a_outliers_iqr", "detect_outliers", "orders", "o_totalprice", {"multiplier": 0.5, "flag_col": "odd"}, ["o_orderkey"], "SELECT o_orderkey, o_totalprice AS out, o_totalprice < q1 - 0.5 * (q3 - q1) OR o_totalprice > q3 + 0.5 * (q3 - q1) AS odd FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)")
 step("n17b_outliers_deviation", "detect_outliers", "orders", "o_totalprice", {"method": "zscore", "multiplier": 1.5, "flag_col": "odd"}, ["o_orderkey"], "SELECT o_orderkey, o_totalprice AS out, o_totalprice < m - 1.5 * s OR o_totalprice > m + 1.5 * s AS odd FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)")
 

@@ -92,6 +92,11 @@ register("j13w_prefer_right_whole", f"SELECT l.doc_id, l.lang, coalesce(r.tag, l
 register("j14w_statistics_whole", f"SELECT (SELECT count(*) FROM {TURNED_LEFT}) AS left_rows, (SELECT count(*) FROM {TURNED_RIGHT}) AS right_rows, (SELECT count(*) FROM {TURNED_LEFT} JOIN {TURNED_RIGHT} ON l.doc_id = r.doc_id) AS joined_rows, (SELECT count(*) FROM {TURNED_LEFT} WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS left_unmatched, (SELECT count(*) FROM {TURNED_RIGHT} WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS right_unmatched")(lambda s, d: joins.join_statistics(*turned_sides(s, d), JoinSpec(["doc_id"], ["doc_id"])))
 
 register("j15_suggest_keys", "SELECT 'doc_id' AS left_key, 'doc_id' AS right_key, 1.0 AS similarity, (SELECT count(*) FROM labels) / (SELECT count(*) FROM documents) AS containment, 1.0 AS left_unique, 1.0 AS right_unique")(lambda s, d: joins.suggest_keys(table(s, d, "documents"), table(s, d, "labels")))
+J15B = """
+    SELECT 'o_custkey' AS left_key, 'c_custkey' AS right_key, CAST(1 AS DOUBLE) AS containment,
+        (SELECT count(DISTINCT o_custkey) / count(o_custkey) FROM orders) AS left_unique, CAST(1 AS DOUBLE) AS right_unique
+"""
+register("j15b_discover_keys", J15B)(lambda s, d: joins.discover_keys(table(s, d, "orders"), table(s, d, "customer"), most=1).drop("similarity"))
 register("j16_entity_link", "SELECT c_custkey, n_nationkey AS right__n_nationkey, upper(n_name) AS right__n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")(
     lambda s, d: fuzzy.entity_link(table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat(F.lit(" "), F.lower("n_name")).alias("n_name")), table(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("n_name")), ["n_name"]).drop("n_name")
 )

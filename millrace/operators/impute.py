@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,9 @@ from millrace.operators.numeric import number_of, one_row
 from millrace.operators.ranks import group_medians, mode, percentiles
 from millrace.operators.rows import fill
 
+#: Groups of tasks whose factors are merged, rows that are factored at once, and the part of a column's length that must be
+#: left beside the columns before it.
+FAN, STACK, DEPENDENT = 32, 4096, 1e-12
 ALIASES = {"forward_fill": "ffill", "backfill": "bfill", "most_common": "mode", "average": "mean", "robust_impute": "group_median"}
 
 
@@ -79,9 +83,33 @@ def default_strategy(kind: T.DataType) -> str:
     return "constant" if isinstance(kind, T.BooleanType) else "empty_string"
 
 
+def triangle(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """The triangular factor R of the columns `names` of all rows: a factor for each task, merged in FAN groups and then on
+    the driver, which gets FAN factors of as many rows as there are columns."""
+    fields = ", ".join(f"{n} double" for n in names)
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, len(names)))
+        for batch in batches:
+            block = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+            for i in range(0, len(block), STACK):
+                r = np.linalg.qr(np.concatenate([r, block[i : i + STACK]]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[:, j])) for j in range(len(names))], names=list(names))
+
+    def merge(group: pa.Table) -> pa.Table:
+        r = np.linalg.qr(np.stack([group.column(n).to_numpy() for n in names], axis=1), mode="r")
+        return pa.table([pa.array(np.ascontiguousarray(r[:, j])) for j in range(len(names))], names=list(names))
+
+    parts = rows.select(*names).mapInArrow(factor, fields).withColumn("fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
+    merged = parts.groupBy("fan").applyInArrow(lambda group: merge(group), fields)
+    return np.linalg.qr(np.array(merged.collect(), dtype=float).reshape(-1, len(names)), mode="r")
+
+
 def ols(df: DataFrame, target: Column, sources: Sequence[Column]) -> np.ndarray:
-    """Intercept and slopes of least squares over rows that are complete: one aggregate of centred sums, solved on the
-    driver for n + 1 unknowns. Sources that depend on each other raise."""
+    """Intercept and slopes of least squares over rows that are complete, by QR factors of the centred columns.
+
+    No sums of squares are formed, so nearly dependent sources keep their digits. Sources that depend on each other raise.
+    """
     names = [f"x{i}" for i in range(len(sources))]
     rows = df.select(*(s.cast("double").alias(n) for s, n in zip(sources, names, strict=True)), target.cast("double").alias("y")).dropna()
     k = len(names)
@@ -89,22 +117,14 @@ def ols(df: DataFrame, target: Column, sources: Sequence[Column]) -> np.ndarray:
     if means[0] < k + 1:
         raise ValueError("regression needs more complete rows than sources")
     centre = np.array(means[1:], dtype=float)
-    shifted = [F.col(n) - float(c) for n, c in zip([*names, "y"], centre, strict=True)]
-    sums = rows.agg(*(F.sum(shifted[i] * shifted[j]) for i in range(k) for j in range(i, k + 1))).first()
-    at = iter(sums)
-    gram, right = np.zeros((k, k)), np.zeros(k)
-    for i in range(k):
-        for j in range(i, k + 1):
-            v = next(at)
-            if j < k:
-                gram[i, j] = gram[j, i] = v
-            else:
-                right[i] = v
-    scale = np.sqrt(np.diag(gram))
-    if (scale == 0).any() or np.linalg.cond(gram / np.outer(scale, scale)) > 1e12:
+    shifted = rows.select(F.lit(1.0).alias("one"), *((F.col(n) - float(c)).alias(n) for n, c in zip([*names, "y"], centre, strict=True)))
+    r = triangle(shifted, ["one", *names, "y"])
+    left = r[: k + 1, : k + 1]
+    if len(left) < k + 1 or (np.abs(np.diag(left)) <= DEPENDENT * np.linalg.norm(left, axis=0)).any():
         raise ValueError("the sources of the regression depend on each other")
-    slopes = np.linalg.solve(gram, right)
-    return np.concatenate([[centre[-1] - slopes @ centre[:-1]], slopes])
+    found = np.linalg.solve(left, r[: k + 1, k + 1])
+    slopes = found[1:]
+    return np.concatenate([[found[0] + centre[-1] - slopes @ centre[:-1]], slopes])
 
 
 def regression(df: DataFrame, column: str, sources: Sequence[str], gap: Column, model: str) -> DataFrame:

@@ -122,6 +122,10 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("rows")).where("rows > 1")
 
 
+#: Distinct values over rows of a column that is nearly a key.
+NEARLY = 0.9
+
+
 def suggest_keys(left: DataFrame, right: DataFrame, least: float = 0.75, most: int = 3) -> DataFrame:
     """(left_key, right_key, similarity, containment, left_unique, right_unique) of likely key pairs, best first.
 
@@ -133,6 +137,36 @@ def suggest_keys(left: DataFrame, right: DataFrame, least: float = 0.75, most: i
     if not pairs:
         scored = sorted(((a, b, named(a, b)) for a in left.columns for b in right.columns), key=lambda x: (-x[2], x[0], x[1]))
         pairs = [x for x in scored if x[2] >= least][:most]
+    return measured(left, right, pairs, most)
+
+
+def discover_keys(left: DataFrame, right: DataFrame, least: float = 0.5, most: int = 3) -> DataFrame:
+    """As suggest_keys, but from the data alone: all pairs of columns, whatever their names.
+
+    Each table is read once for a sketch of every column's set of values; the sketches' intersections give the containment
+    of every pair. Pairs of an estimated containment of `least` or more whose right side is nearly a key, fewest chance
+    matches (most distinct left values) first, are then measured exactly, 2 * most of them.
+    """
+    a, b = column_sketches(left), column_sketches(right)
+    share = lambda x, y: F.theta_sketch_estimate(F.theta_intersection(x, y))
+    both = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns)).join(F.broadcast(b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))), F.lit(True))
+    scored = both.select("a_column", "b_column", "a_distinct", (share("a_sketch", "b_sketch") / F.col("a_distinct")).alias("contained"), (F.col("b_distinct") / F.col("b_filled")).alias("key"))
+    likely = scored.where((F.col("contained") >= least) & (F.col("key") >= NEARLY) & (F.col("a_distinct") > 1))
+    pairs = likely.orderBy(F.desc(F.round("contained", 1)), F.desc("a_distinct"), "a_column", "b_column").limit(2 * most).collect()
+    named = lambda x, y: difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    return measured(left, right, [(r.a_column, r.b_column, named(r.a_column, r.b_column)) for r in pairs], most)
+
+
+def column_sketches(df: DataFrame) -> DataFrame:
+    """(column, sketch, distinct, filled) of each column, in one pass: a row for each of a table's columns."""
+    names = df.columns
+    row = df.agg(*(F.struct(F.lit(n).alias("column"), F.theta_sketch_agg(col(n).cast("string")).alias("sketch"), F.count(col(n)).alias("filled")).alias(f"c{i}") for i, n in enumerate(names)))
+    flat = row.select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("c")).select("c.*")
+    return flat.where("filled > 0").withColumn("distinct", F.theta_sketch_estimate("sketch"))
+
+
+def measured(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str, float]], most: int) -> DataFrame:
+    """The exact figures of (left column, right column, similarity of names), best first."""
     parts = []
     for a, b, score in pairs:
         x = left.groupBy(col(a).cast("string").alias("k")).agg(F.count("*").alias("l"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from millrace.functions.exprs import col, parse_number, plain_number
 from millrace.operators.ranks import at_ranks, percentiles
 from millrace.operators.types import to_double
 
+#: Distinct values that clusters are found over exactly, and passes in which centres of more values may move.
+CLUSTERED, MOVES = 100_000, 50
 #: The rates that stand in where a step gives none.
 FALLBACK_RATES = {("USD", "EUR"): 0.92, ("EUR", "USD"): 1.09, ("USD", "GBP"): 0.79, ("GBP", "USD"): 1.27}
 
@@ -87,11 +91,11 @@ def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(row))
 
 
-def suggest_buckets(df: DataFrame, column: str, method: str = "quantile", n: int = 4, seed: int = 0) -> DataFrame:
+def suggest_buckets(df: DataFrame, column: str, method: str = "quantile", n: int = 4) -> DataFrame:
     """(label, min, max, pmin, pmax) of n buckets b1 ... by quantile, equal width or kmeans.
 
     quantile: the edges are the values at rank floor(p * (count - 1)). equal: even steps between least and greatest, the
-    ends open. kmeans: midpoints between sorted centres, by quantile if there are fewer centres.
+    ends open. kmeans: midpoints between the centres of the best clusters, by quantile if there are fewer values.
     """
     spark = df.sparkSession
     values = df.select(number_of(df, column).alias("v")).where("v IS NOT NULL")
@@ -103,14 +107,9 @@ def suggest_buckets(df: DataFrame, column: str, method: str = "quantile", n: int
         edges = [low + (high - low) * p for p in share]
         rows = [(f"b{i + 1}", None if i == 0 else edges[i], None if i == n - 1 else edges[i + 1], None, None) for i in range(n)]
     elif method == "kmeans":
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
-
-        count = values.distinct().limit(n).count()
-        if count < n:
+        centres = cluster_centres(values, n)
+        if len(centres) < n:
             return suggest_buckets(df, column, "quantile", n)
-        model = KMeans(k=n, seed=seed).fit(VectorAssembler(inputCols=["v"], outputCol="features").transform(values))
-        centres = sorted(float(c[0]) for c in model.clusterCenters())
         cuts = [None, *((a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)), None]
         rows = [(f"b{i + 1}", cuts[i], cuts[i + 1], None, None) for i in range(len(centres))]
     elif method == "quantile":
@@ -129,6 +128,77 @@ def quantile_edges(values: DataFrame, shares: Sequence[float]) -> list[float]:
     return at_ranks(values, F.col("v"), [int(p * (total - 1)) for p in shares]) if total else []
 
 
+def cluster_centres(values: DataFrame, k: int, most: int = CLUSTERED) -> list[float]:
+    """The centres of the k clusters of v with the least sum of squares, ascending; of fewer distinct values, those.
+
+    Spark counts the distinct values, and clusters are found exactly over those. More than `most` distinct values are first
+    put into about as many bins of equal counts; from the best clusters of these bins on, each value moves to its nearest
+    centre and each centre to the mean of its values, until no value moves.
+    """
+    counts = values.groupBy("v").agg(F.count("*").alias("n"))
+    if counts.count() <= most:
+        return clusters_of(counts, k)
+    edges = values.agg(F.percentile_approx("v", [i / most for i in range(1, most)], 10 * most)).first()[0]
+    cuts = sorted(set(edges))
+    place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x, side="right")), "long")
+    centres = clusters_of(counts.groupBy(place("v").alias("b")).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")), k)
+    for _ in range(MOVES):
+        middle = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)]
+        own = sum(((F.col("v") >= m).cast("int") for m in middle), F.lit(0))
+        moved = [r.v for r in values.groupBy(own.alias("c")).agg(F.avg("v").alias("v")).orderBy("c").collect()]
+        if moved == centres:
+            break
+        centres = moved
+    return centres
+
+
+def clusters_of(counts: DataFrame, k: int) -> list[float]:
+    rows = np.array([(r.v, r.n) for r in counts.orderBy("v").collect()], dtype=float).reshape(-1, 2)
+    return [float(c) for c in best_clusters(rows[:, 0], rows[:, 1], k)]
+
+
+def best_clusters(v: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Means of the k runs of ascending values v of weights n with the least sum of squares; of ties the run that begins
+    first, from the last run on.
+
+    cost[j] is the least for the first j values in so many runs. The best start of the last run only moves right as j grows,
+    so the starts of a row are found by halves: that of the middle bounds those on either side.
+    """
+    m = len(v)
+    if m <= k:
+        return v
+    base = np.average(v, weights=n)
+    c, s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, n * (v - base), n * (v - base) ** 2))
+
+    def spread(i: np.ndarray, j: int) -> np.ndarray:
+        return np.maximum(q[j] - q[i] - (s[j] - s[i]) ** 2 / (c[j] - c[i]), 0.0)
+
+    slack = 1e-12 * q[m]  # sums that differ by their rounding alone are ties
+    cost = np.concatenate([[0.0], [float(spread(np.array([0]), j)[0]) for j in range(1, m + 1)]])
+    starts: list[np.ndarray] = []
+    for run in range(2, k + 1):
+        new, best = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
+        todo = [(run, m, run - 1, m - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            total = cost[i] + spread(i, j)
+            at = int(np.argmax(total <= total.min() + slack))
+            new[j], best[j] = total[at], i[at]
+            todo += [(low, j - 1, first, int(i[at])), (j + 1, high, int(i[at]), last)]
+        cost = new
+        starts.append(best)
+    cuts, j = [m], m
+    for best in reversed(starts):
+        j = int(best[j])
+        cuts.append(j)
+    edges = np.array([0, *reversed(cuts)])
+    return base + np.diff(s[edges]) / np.diff(c[edges])
+
+
 def outlier_bounds(df: DataFrame, column: str, method: str, multiplier: float) -> DataFrame:
     """One row (low, high): quartiles -/+ multiplier * their distance, or mean -/+ multiplier * population deviation."""
     values = df.select(number_of(df, column).alias("v"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.exprs import col
+from millrace.operators.rows import stable
 
 #: The pattern of an address and what stands in its place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -105,6 +106,10 @@ def redact_json(df: DataFrame, column: str, schema: str | T.StructType, keys: Se
     return df.withColumn(column, F.when(parsed.isNotNull() & col(column).startswith("{"), made).otherwise(redact_text(col(column))))
 
 
+#: The log of no record.
+MARK = object()
+
+
 def chain_digest(secret: str, before: str, body: str) -> str:
     return hmac.new(secret.encode(), (before + body).encode(), hashlib.sha256).hexdigest()
 
@@ -134,12 +139,26 @@ def chain_log(df: DataFrame, log: str, seq: str, body: str, secret: str) -> Data
 def verify_chain(df: DataFrame, log: str, seq: str, body: str, secret: str) -> DataFrame:
     """Each record of a chained log (column hmac) with ok: its digest follows from the one before and its body.
 
-    Verification needs the neighbour's stored digest only, so it is a lag and a vectorised digest."""
-
-    @F.pandas_udf("string")
-    def digest(before: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([chain_digest(secret, b or "", t or "") for b, t in zip(before, text, strict=True)])
+    Verification needs the neighbour's stored digest only, so logs are dealt out by range of (log, seq), a long one over any
+    number of tasks; the first record of a range takes the last digest of the range before, one row a range. Records of
+    one log must differ in seq; a null log is a log, a null body is empty, a record without digest is not ok.
+    """
+    names = df.columns
+    keyed = df.select(*[col(c) for c in names], col(log).cast("string").alias("__log"))
+    parts = stable(keyed.repartitionByRange("__log", col(seq)).sortWithinPartitions("__log", col(seq)).withColumn("__part", F.spark_partition_id()))
+    last = parts.groupBy("__part").agg(F.max_by(F.struct("__log", "hmac"), F.struct("__log", col(seq))).alias("__last"))
+    before = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__lead"))  # a row a range
+    lead = before.select("__part", F.col("__lead").isNotNull().alias("__led"), F.col("__lead.__log").alias("__lead_log"), F.col("__lead.hmac").alias("__lead_hmac"))
 
-    w = Window.partitionBy(col(log)).orderBy(col(seq))
-    made = df.withColumn("__before", F.coalesce(F.lag("hmac").over(w), F.lit("")))
-    return made.withColumn("ok", F.col("hmac").eqNullSafe(digest("__before", col(body)))).drop("__before")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[int, tuple[str | None, str | None]] = {}
+        for rows in batches:
+            ok = []
+            for part, led, lead_log, lead_hmac, name, body, stored in zip(*(rows[c] for c in ("__part", "__led", "__lead_log", "__lead_hmac", "__log", "__body", "hmac")), strict=True):
+                at = state.get(part) or ((lead_log, lead_hmac) if led else (MARK, None))
+                ok.append(stored == chain_digest(secret, (at[1] or "") if at[0] == name else "", body or ""))
+                state = {part: (name, stored)}
+            yield rows[names].assign(ok=ok)
+
+    schema = T.StructType([*df.select(*[col(c) for c in names]).schema.fields, T.StructField("ok", T.BooleanType())])
+    return parts.join(F.broadcast(lead), "__part").withColumn("__body", col(body).cast("string")).mapInPandas(run, schema)

@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from millrace.catalog import cleaning, files, statistics, tables  # noqa: F401
+    from millrace.catalog import cleaning, files, known, statistics, tables  # noqa: F401

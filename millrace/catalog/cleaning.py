@@ -82,7 +82,7 @@ step("x02_normalize_capitalize", "normalize", "part", "concat(' ', upper(p_name)
 step("x03_normalize_title", "normalize", "part", "replace(p_name, ' ', '-')", {"case": "title"}, ["p_partkey"], "SELECT p_partkey, array_to_string(list_transform(string_split(trim(replace(p_name, ' ', '-')), '-'), lambda w: upper(w[1]) || lower(w[2:])), '-') AS out FROM part")
 step("x04_normalize_preserve", "normalize", "customer", "concat(' ', c_name, ' ')", {"case": "preserve"}, ["c_custkey"], "SELECT c_custkey, trim(c_name) AS out FROM customer")
 step("x05a_unicode_nfc", "unicode_normalize", "documents", "text", {"form": "NFC"}, ["doc_id"], "SELECT doc_id, nfc_normalize(text) AS out FROM documents")
-step("x05b_strip_accents", "unicode_normalize", "documents", "text", {"form": "NFC", "remove_diacritics": True}, ["doc_id"], None)
+step("x05b_strip_accents", "unicode_normalize", "documents", "text", {"form": "NFC", "remove_diacritics": True}, ["doc_id"], "SELECT doc_id, strip_accents(text) AS out FROM documents")
 step("x06a_replace", "replace", "documents", "text", {"old": "the", "new": "$1"}, ["doc_id"], "SELECT doc_id, replace(text, 'the', '$1') AS out FROM documents")
 step("x06b_replace_first", "replace", "documents", "text", {"old": "the", "new": "THE", "first": True}, ["doc_id"], "SELECT doc_id, regexp_replace(text, 'the', 'THE') AS out FROM documents")
 step("x07_map", "map", "orders", "o_orderstatus", {"mapping": {"O": "open", "F": "filled"}}, ["o_orderkey"], "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS out FROM orders")

@@ -20,6 +20,13 @@ def schema_table(df: DataFrame, source: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(source, c) for c in df.columns], "source string, column string")
 
 
+def record_columns(df: DataFrame, source: str, body: str) -> DataFrame:
+    """(source, column) of the fields that the JSON records (column body) of each source hold; text that is no JSON object
+    has none."""
+    keys = F.explode(F.json_object_keys(col(body))).alias("column")
+    return df.select(col(source).cast("string").alias("source"), keys).distinct()
+
+
 def schema_difference(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(source, missing, extra, ok) for (source, column) tables, many sources at once; ok: nothing is missing."""
     e, a = (x.groupBy("source").agg(F.collect_set("column").alias(n)) for x, n in ((expected, "e"), (actual, "a")))

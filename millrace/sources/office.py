@@ -111,15 +111,19 @@ def units(path: str, content: bytes) -> list[dict]:
         return [base | {"unit_kind": "file_error", "text": "", "notes": f"{type(e).__name__}: {e}"}]
 
 
-def office_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The long form of all office files under path."""
+def file_rows(files: DataFrame) -> DataFrame:
+    """The long form of office files (path, content), each walked by the task that has it; other suffixes are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for file, content in zip(files["path"], files["content"], strict=True):
+        for some in batches:
+            for file, content in zip(some["path"], some["content"], strict=True):
                 rows = units(file, content)
                 if rows:
                     yield pd.DataFrame(rows, columns=FIELDS).astype({f.name: "Int32" if f.dataType.typeName() == "integer" else object for f in LONG_FORM.fields})
 
-    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.(xlsx|docx|pptx)$"))
-    return files.select("path", "content").mapInPandas(run, LONG_FORM)
+    return files.where(F.lower("path").rlike(r"\.(xlsx|docx|pptx)$")).select("path", "content").mapInPandas(run, LONG_FORM)
+
+
+def office_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The long form of all office files under path."""
+    return file_rows(spark.read.format("binaryFile").load(path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,12 @@ register("p01_select", "SELECT o_orderkey, o_totalprice FROM orders")(lambda s,
 register("p02_drop_column", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")(lambda s, d: columns.drop_column(table(s, d, "orders"), ["o_orderstatus", "o_orderdate", "o_orderpriority"]))
 register("p03_drop_constant", "SELECT p_partkey, p_name FROM part")(lambda s, d: columns.drop_constant(table(s, d, "part").select("p_partkey", "p_name", F.lit("x").alias("c1"), F.lit(None).cast("int").alias("c2"))))
 register("p04_rename", "SELECT c_custkey AS id, c_name AS customer FROM customer")(lambda s, d: columns.rename(table(s, d, "customer").select("c_custkey", "c_name"), ["c_custkey", "c_name"], ["id", "customer"]))
-register("p05_safe_rename", "SELECT n_nationkey AS n_regionkey_1, n_name, n_regionkey FROM nation")(lambda s, d: columns.safe_rename(table(s, d, "nation"), {"n_nationkey": "n_regionkey"})[0])
-register("p06_exclude_metadata", "SELECT r_regionkey FROM region")(lambda s, d: columns.without_meta(table(s, d, "region").select("r_regionkey", F.col("r_name").alias("sheet_name"), F.col("r_name").alias("_hidden"))))
+register("p05_safe_rename", "SELECT c_custkey AS c_nationkey_1, c_name, c_nationkey FROM customer")(
+    lambda s, d: columns.safe_rename(table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"), {"c_custkey": "c_nationkey"})[0]
+)
+register("p06_exclude_metadata", "SELECT o_orderkey FROM orders")(
+    lambda s, d: columns.without_meta(table(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("sheet_name"), F.col("o_orderpriority").alias("_hidden")))
+)
 
 
 def conditioned(name: str, tree: dict, sql: str, source: str = "lineitem", keys: str = "l_orderkey, l_linenumber") -> None:
@@ -58,16 +64,25 @@ def p10_derive(s: SparkSession, d: str) -> DataFrame:
     return columns.derive_column(df, {"rules": rules}).select("l_orderkey", "l_linenumber", "net", "tag", "left_over", "part")
 
 
-@register("p11_apply_patch", """
-    SELECT n_nationkey, CASE WHEN n_nationkey < 10 THEN 'row ' || n_nationkey ELSE n_name END AS n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, CASE WHEN n_nationkey = 3 THEN 'seen' ELSE '' END AS note FROM nation""")
+P11 = """
+    SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'row ' || c_custkey ELSE c_name END AS c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+        CASE WHEN c_custkey % 7 = 3 THEN 'seen' ELSE '' END AS note
+    FROM customer
+"""
+
+
+@register("p11_apply_patch", P11)
 def p11_patch(s: SparkSession, d: str) -> DataFrame:
-    nation = table(s, d, "nation")
-    low = nation.where("n_nationkey < 10").select(F.col("n_nationkey").alias("row"), F.lit("n_name").alias("column"), F.concat(F.lit("row "), "n_nationkey").alias("value"), F.lit(1).alias("seq"))
-    older = nation.where("n_nationkey < 5").select(F.col("n_nationkey").alias("row"), F.lit("n_name"), F.lit("older"), F.lit(0))
-    more = nation.where("n_nationkey = 3").select(F.col("n_nationkey").alias("row"), F.lit("note"), F.lit("seen"), F.lit(0))
-    far = nation.where("n_nationkey = 3").select(F.lit(9999).alias("row"), F.lit("note"), F.lit("far"), F.lit(0))
-    keys = nation.where("n_nationkey = 3").select(F.lit(-1).alias("row"), F.lit("n_regionkey"), F.lit("x"), F.lit(0))
-    return columns.apply_patches(nation, low.union(older).union(more).union(far).union(keys), "n_nationkey")
+    """Patches of a column and of a new one, older ones of the same cells, and patches of rows that are not there."""
+    customer = table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    patch = lambda rows, column, value, seq: rows.select(F.col("c_custkey").cast("long").alias("row"), F.lit(column).alias("column"), value.alias("value"), F.lit(seq).alias("seq"))
+    fifth, seen = customer.where("c_custkey % 5 = 0"), customer.where("c_custkey % 7 = 3")
+    gone = customer.select((F.col("c_custkey") + 10**12).alias("c_custkey"))
+    patches = [
+        patch(fifth, "c_name", F.concat(F.lit("row "), F.col("c_custkey").cast("string")), 1), patch(fifth, "c_name", F.lit("older"), 0),
+        patch(seen, "note", F.lit("seen"), 0), patch(gone, "note", F.lit("far"), 0), patch(gone, "c_nationkey", F.lit("x"), 0),
+    ]
+    return columns.apply_patches(customer, reduce(DataFrame.union, patches), "c_custkey")
 
 
 register("p12_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'blue') OR contains(lower(p_brand), 'blue') OR contains(lower(p_type), 'blue')")(lambda s, d: columns.search(table(s, d, "part"), ["p_name", "p_brand", "p_type"], "BLUE").select("p_partkey", "p_name"))

@@ -160,13 +160,13 @@ register("q03_suggest_fixes", "SELECT 'q' AS \"column\", 'impute' AS action, 'me
 register("q04_suggest_cleaning", f"WITH g AS ({GAPS}) SELECT 'q' AS \"column\", round(least(0.7, 0.1 + (count(*) - count(q)) / 1000), 6) AS score FROM g UNION ALL SELECT 'id', 0.35")(lambda s, d: quality.suggest_cleaning(aggregate.profile(gaps(s, d))))
 
 
-@register("q05_preview", "SELECT n_nationkey, lower(n_name) AS n_name FROM nation ORDER BY 1 LIMIT 5")
+@register("q05_preview", "SELECT c_custkey, lower(c_name) AS c_name FROM customer ORDER BY 1 LIMIT 5")
 def q05_preview(s: SparkSession, d: str) -> DataFrame:
-    return preview.preview(table(s, d, "nation").select("n_nationkey", "n_name"), {"cleaning_steps": [{"action": "normalize", "column": "n_name", "params": {"case": "lower"}}]}, 5, "n_nationkey")[1]
+    return preview.preview(table(s, d, "customer").select("c_custkey", "c_name"), {"cleaning_steps": [{"action": "normalize", "column": "c_name", "params": {"case": "lower"}}]}, 5, "c_custkey")[1]
 
 
-register("q06_step_preview", "SELECT 'r_name' AS \"column\", string_agg(r_name, ',' ORDER BY r_regionkey) AS before, string_agg(lower(r_name), ',' ORDER BY r_regionkey) AS after FROM region")(
-    lambda s, d: preview.step_preview(table(s, d, "region"), {"action": "normalize", "column": "r_name", "params": {"case": "lower"}}, 20, "r_regionkey").select("column", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+register("q06_step_preview", "SELECT 'p_name' AS \"column\", string_agg(p_name, ',' ORDER BY p_partkey) AS before, string_agg(upper(p_name), ',' ORDER BY p_partkey) AS after FROM (FROM part ORDER BY p_partkey LIMIT 20)")(
+    lambda s, d: preview.step_preview(table(s, d, "part").select("p_partkey", "p_name"), {"action": "normalize", "column": "p_name", "params": {"case": "upper"}}, 20, "p_partkey").select("column", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
 )
 EXPLAINED = f"""
     WITH g AS ({GAPS})

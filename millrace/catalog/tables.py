@@ -48,7 +48,9 @@ register("j01_join_step", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT
 )
 register("j09_composite_keys", "SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, r.l_tax AS tax FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber")(lambda s, d: joins.equi_join(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), table(s, d, "lineitem").selectExpr("l_orderkey AS ok", "l_linenumber AS ln", "l_tax AS tax"), JoinSpec(["l_orderkey", "l_linenumber"], ["ok", "ln"])))
 register("j10_key_inference", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")(lambda s, d: joins.equi_join(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels").select("doc_id", "quality"), JoinSpec()))
-register("j11_rename_map", "SELECT n_nationkey, n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: joins.equi_join(table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), table(s, d, "region"), JoinSpec(["n_regionkey"], ["n_regionkey"], right_rename={"r_regionkey": "n_regionkey", "r_name": "region"})).drop("n_regionkey"))
+register("j11_rename_map", "SELECT o_orderkey, c_name AS buyer, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")(
+    lambda s, d: joins.equi_join(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"), JoinSpec(["o_custkey"], ["o_custkey"], right_rename={"c_custkey": "o_custkey", "c_name": "buyer"})).drop("o_custkey")
+)
 register("j12_conflict_suffix", f"SELECT l.doc_id, l.lang, l.tag, r.quality, r.tag AS tag_lab FROM {LEFT} JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"], suffix="_lab")))
 register("j13_prefer_right", f"SELECT l.doc_id, l.lang, coalesce(r.tag, l.tag) AS tag, r.quality FROM {LEFT} LEFT JOIN {RIGHT} ON l.doc_id = r.doc_id")(lambda s, d: joins.equi_join(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"], "left", prefer="right")))
 register("j14_statistics", f"SELECT (SELECT count(*) FROM {LEFT}) AS left_rows, (SELECT count(*) FROM {RIGHT}) AS right_rows, (SELECT count(*) FROM {LEFT} JOIN {RIGHT} ON l.doc_id = r.doc_id) AS joined_rows, (SELECT count(*) FROM {LEFT} WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS left_unmatched, (SELECT count(*) FROM {RIGHT} WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS right_unmatched")(lambda s, d: joins.join_statistics(*sides(s, d), JoinSpec(["doc_id"], ["doc_id"])))
@@ -103,9 +105,9 @@ register("j16_entity_link", "SELECT c_custkey, n_nationkey AS right__n_nationkey
 register("j17_consistency", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN n_name ELSE n_name END AS nation, s_suppkey % 4 = 0 AS bad, CASE WHEN s_suppkey % 4 = 0 THEN n_name END AS hint FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
     lambda s, d: joins.consistency_check(table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 4 == 0, "Nowhere").otherwise(F.col("n_name")).alias("nation")), table(s, d, "nation").select("n_nationkey", "n_name"), "s_nationkey", "nation", True, "bad", "hint").drop("s_nationkey")
 )
-register("j18_lookup", "SELECT c_custkey, n_name AS nation, n_regionkey AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")(lambda s, d: joins.lookup(table(s, d, "customer").select("c_custkey", "c_nationkey"), table(s, d, "nation").where("n_nationkey < 20"), {"c_nationkey": "n_nationkey"}, {"n_name": "nation", "n_regionkey": "region"}).drop("c_nationkey"))
-register("j19_geocode", "SELECT s_suppkey, CASE WHEN n_nationkey < 20 THEN CAST(n_nationkey AS DOUBLE) END AS place__lat, CASE WHEN n_nationkey < 20 THEN n_regionkey * 1.5 END AS place__lon FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
-    lambda s, d: joins.geocode(table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit(" "), F.lower("n_name")).alias("place")), "place", table(s, d, "nation").where("n_nationkey < 20").select(F.col("n_name").alias("address"), F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_regionkey") * F.lit(1.5)).alias("lon"))).drop("place")
+register("j18_lookup", "SELECT c_custkey, n_name AS nation, n_regionkey AS region FROM customer LEFT JOIN nation ON c_nationkey + 3 = n_nationkey")(lambda s, d: joins.lookup(table(s, d, "customer").select("c_custkey", (F.col("c_nationkey") + 3).alias("c_nationkey")), table(s, d, "nation"), {"c_nationkey": "n_nationkey"}, {"n_name": "nation", "n_regionkey": "region"}).drop("c_nationkey"))
+register("j19_geocode", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN CAST(n_nationkey AS DOUBLE) END AS place__lat, CASE WHEN s_suppkey % 4 > 0 THEN n_regionkey * 1.5 END AS place__lon FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
+    lambda s, d: joins.geocode(table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit(" "), F.lower("n_name"))).otherwise("nowhere").alias("place")), "place", table(s, d, "nation").select(F.col("n_name").alias("address"), F.col("n_nationkey").cast("double").alias("lat"), (F.col("n_regionkey") * F.lit(1.5)).alias("lon"))).drop("place")
 )
 register("j20_exchange", "SELECT o_orderkey, round(o_totalprice * (2 + o_custkey % 3) / (1 + o_custkey % 5), 6) AS made FROM orders")(
     lambda s, d: joins.exchange(table(s, d, "orders").select("o_orderkey", "o_totalprice", F.concat(F.lit("f"), F.col("o_custkey") % 5).alias("f"), F.concat(F.lit("t"), F.col("o_custkey") % 3).alias("t")), table(s, d, "customer").select(F.concat(F.lit("F"), F.col("c_custkey") % 5).alias("currency"), (1 + F.col("c_custkey") % 5).cast("double").alias("rate")).union(table(s, d, "customer").select(F.concat(F.lit("T"), F.col("c_custkey") % 3), (2 + F.col("c_custkey") % 3).cast("double"))), "o_totalprice", "f", "t", "made").select("o_orderkey", F.round("made", 6).alias("made"))
@@ -139,13 +141,13 @@ def s01_read_delimited(s: SparkSession, d: str) -> DataFrame:
     return readers.read_delimited(s, writers.write_table(table(s, d, "customer"), scratch(s, "csv"), "csv"))
 
 
-register("s02_read_parquet", "SELECT * FROM nation")(lambda s, d: readers.read_source(s, f"{d}/nation.parquet"))
+register("s02_read_parquet", "SELECT * FROM orders")(lambda s, d: readers.read_source(s, f"{d}/orders.parquet"))
 
 
-@register("s03_separator", "SELECT n_nationkey, n_name FROM nation")
+@register("s03_separator", "SELECT c_custkey, c_name FROM customer")
 def s03_separator(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "semi")
-    table(s, d, "nation").select("n_nationkey", "n_name").write.option("header", True).option("sep", ";").csv(path)
+    table(s, d, "customer").select("c_custkey", "c_name").write.option("header", True).option("sep", ";").csv(path)
     return readers.read_delimited(s, path)
 
 
@@ -160,11 +162,11 @@ register("s05_text_lines", "SELECT CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_
 register("s12_wide_from_lines", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus FROM orders")(lambda s, d: readers.reconstruct(table(s, d, "orders").select(F.lit("line").alias("unit_kind"), (F.col("o_orderkey") + 1).alias("row_index"), F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("text")).union(table(s, d, "region").where("r_regionkey = 0").select(F.lit("line"), F.lit(-1), F.lit("o_orderkey,o_custkey,o_orderstatus")))).drop("row_index"))
 
 
-@register("s13_wide_from_cells", "SELECT n_nationkey + 2 AS row_index, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+@register("s13_wide_from_cells", "SELECT c_custkey + 2 AS row_index, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
 def s13_cells(s: SparkSession, d: str) -> DataFrame:
-    nation = table(s, d, "nation")
-    cells = nation.select((F.col("n_nationkey") + 2).alias("row_index"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.col("n_nationkey").cast("string").alias("t")), F.struct(F.lit(2).alias("c"), F.col("n_name").alias("t")))).alias("x")).select("row_index", F.col("x.c").alias("column_index"), F.col("x.t").alias("text"))
-    head = nation.where("n_nationkey = 0").select(F.lit(1).alias("row_index"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.lit("n_nationkey").alias("t")), F.struct(F.lit(2).alias("c"), F.lit("n_name").alias("t")))).alias("x")).select("row_index", F.col("x.c"), F.col("x.t"))
+    customer = table(s, d, "customer")
+    cells = customer.select((F.col("c_custkey") + 2).alias("row_index"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.col("c_custkey").cast("string").alias("t")), F.struct(F.lit(2).alias("c"), F.col("c_name").alias("t")))).alias("x")).select("row_index", F.col("x.c").alias("column_index"), F.col("x.t").alias("text"))
+    head = customer.agg(F.count("*")).select(F.lit(1).alias("row_index"), F.explode(F.array(F.struct(F.lit(1).alias("c"), F.lit("c_custkey").alias("t")), F.struct(F.lit(2).alias("c"), F.lit("c_name").alias("t")))).alias("x")).select("row_index", F.col("x.c"), F.col("x.t"))
     return readers.reconstruct(cells.union(head).withColumns({"unit_kind": F.lit("cell"), "sheet_name": F.lit("S")}))
 
 
@@ -176,11 +178,11 @@ def s16_audit(s: SparkSession, d: str) -> DataFrame:
     return readers.audit_lines(s, path).groupBy(F.col("data.event").alias("event"), F.col("raw").isNotNull().alias("bad")).agg(F.count("*").alias("n"))
 
 
-@register("s17_json_records", "SELECT r_regionkey, r_name FROM region")
+@register("s17_json_records", "SELECT p_partkey, p_name FROM part")
 def s17_json(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "json")
-    table(s, d, "region").write.json(path)
-    return s.read.json(path)
+    table(s, d, "part").select("p_partkey", "p_name").write.json(path)
+    return readers.json_records(s, path, lines=True)
 
 
 @register("k03_write_parquet", "SELECT * FROM supplier")

@@ -247,9 +247,10 @@ def audit_lines(spark: SparkSession, path: str, schema: str = "data struct<event
     return rows.select("source", *[F.when(~bad, F.col(f"j.{f.name}")).alias(f.name) for f in kind.fields], F.when(bad, F.col("value")).alias("raw"))
 
 
-def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of JSON records, one or more a file."""
-    return spark.read.json(path, multiLine=True)
+def json_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A folder of JSON records: a record (or an array of them) a file over any lines, or with lines one on each line,
+    which is read in splits."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def duplicate_files(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 SOME = (
     "flagship_recipe", "p03_drop_constant", "p07e_or", "p10_derive", "p11_apply_patch", "x03_normalize_title", "x07_map", "x13_split_mixed", "x16_swap_by_types", "n01_cast_int", "n05_cast_datetime_format",
-    "n14_suggest_quantile", "a02_profile", "a03_inspect", "w01_ffill", "w04_row_index", "w08_hash_chain", "m09_grouped_median", "m11_regression", "q07_explain", "q08_cell_difference", "j07_full", "j14_statistics",
+    "n14_suggest_quantile", "n16_suggest_kmeans", "a04_scalars", "a07_quantiles_discrete", "j15b_discover_keys", "x17b_similarity_known", "p11_apply_patch", "a02_profile", "a03_inspect", "w01_ffill", "w04_row_index", "w08_hash_chain", "m09_grouped_median", "m11_regression", "q07_explain", "q08_cell_difference", "j07_full", "j14_statistics",
     "j17_consistency", "p14_opt_out", "s13_wide_from_cells", "k04_snapshot_rollback", "r01_incremental",
 )
 

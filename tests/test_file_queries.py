@@ -7,7 +7,7 @@ import pytest
 from tests.test_catalog import pytestmark, sql, test_query_equals_sql  # noqa: F401
 
 NAMES = (
-    "s04_sniff_delimiter", "s06_encodings", "s10_shortcuts", "s11_ingest", "s14_reconstruct", "s18_duplicate_files", "k01_write_csv", "k02_replace_source", "k06_expire_snapshots", "k07_join_export", "k08_record_run",
+    "s01b_quoted_newlines", "s04_sniff_delimiter", "s07_xlsx", "s08_docx", "s09_pptx", "s15_database", "k04b_version_rollback", "k06b_expire_versions", "p16b_subject_deletion_files", "q01b_record_drift", "s06_encodings", "s10_shortcuts", "s11_ingest", "s14_reconstruct", "s18_duplicate_files", "k01_write_csv", "k02_replace_source", "k06_expire_snapshots", "k07_join_export", "k08_record_run",
     "k09_write_long_form", "t05_latest_events", "p19_redact_json", "s17b_json_record_files", "a06b_quartile_bounds", "a07b_percentile_buckets", "a08b_deviation_bounds",
 )
 check = test_query_equals_sql

@@ -194,7 +194,9 @@ def wide_from_lines(df: DataFrame, source: str | None = None) -> DataFrame:
         lines = lines.where(F.col("source_path") == source)
     sep = sniff_delimiter(lines.orderBy("row_index").limit(8).select(F.col("text").alias("value")))
     quoted = "\\Q" + sep + "\\E"
-    fields = F.transform(F.split("text", quoted + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    # each field follows a separator: quoted stretches, which may hold more, and runs without quotes; linear in the line
+    each = F.regexp_extract_all(F.concat(F.lit(sep), "text"), F.lit(quoted + '((?:"[^"]*+"|[^' + quoted + '"]++|")*+)'), F.lit(1))
+    fields = F.transform(each, lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
     rows = lines.select("row_index", fields.alias("f"))
     width = rows.agg(F.max(F.size("f"))).first()[0] or 0
     return _headed(rows.select("row_index", *[F.get("f", F.lit(i)).alias(f"c{i}") for i in range(width)]), width, "row_index")

@@ -141,3 +141,14 @@ def test_stream(spark, tmp_path):
         incremental.clean_stream(stream, whole)
     incremental.run_stream(stream, whole, f"file://{tmp_path}/agg", f"file://{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/agg").first().n == 2
+
+
+def test_fields_of_long_lines_are_found_in_one_pass(spark):
+    long = "x" * 200_000
+    rows = [(1, "id,name,note"), (2, f'1,"a, ""b""",{long}'), (3, "2,,plain"), (4, '3,5" pipe,"q, r"')]
+    df = spark.createDataFrame([("line", i, t) for i, t in rows], "unit_kind string, row_index int, text string")
+    got = [(r.id, r["name"], r.note) for r in readers.wide_from_lines(df).orderBy("row_index").collect()]
+    assert got[:2] == [("1", 'a, "b"', long), ("2", "", "plain")]
+    assert got[2][0] == "3"
+    many = spark.createDataFrame([("line", 1, ",".join(f'"{i}, {i}"' for i in range(3000)))], df.schema)
+    assert len(readers.wide_from_lines(many).columns) == 3001

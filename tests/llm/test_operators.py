@@ -403,6 +403,66 @@ def test_line_dedup_finds_edited_lines(spark):
     assert not got[0] and not got[1] and not got[2]
 
 
+def edited(rng: random.Random, line: str, share: float) -> str:
+    """The line with a share of its letters replaced, at most a tenth of its characters."""
+    at = [i for i, c in enumerate(line) if c.isalpha()]
+    out = list(line)
+    for i in rng.sample(at, min(round(len(at) * share), len(line) // 10)):
+        out[i] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return "".join(out)
+
+
+def test_line_dedup_recall_of_scattered_edits(spark):
+    """By edit similarity alone: at least nine in ten pairs of each length and share of edited letters are found."""
+    rng = random.Random(33)
+    words = [prose(rng, 1) for _ in range(3000)]
+    rows, cells = [], []
+    for n in (12, 20, 40, 80):
+        for share in (0.03, 0.06, 0.09):
+            for _ in range(60):
+                line = " ".join(rng.choice(words) for _ in range(n))
+                rows += [(len(cells), line), (10_000 + len(cells), edited(rng, line, share))]
+                cells.append((n, share))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    for cell in set(cells):
+        mine = [i for i, c in enumerate(cells) if c == cell]
+        assert sum(got[10_000 + i] for i in mine) >= 0.9 * len(mine), cell
+    assert not any(got[i] for i in range(len(cells)))
+
+
+def test_lines_around_a_passage_are_not_paired_with_all(spark, monkeypatch):
+    """Unlike lines of twenty common and twenty own words: pairs grow with the lines, not with their square; an edited copy
+    among them is found."""
+    rng = random.Random(34)
+    words = [prose(rng, 1) for _ in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    pairs: list[int] = []
+    known = lines.link_buckets
+
+    def counted(buckets, verify, *more, **named):
+        def look(rows):
+            pairs.append(rows.count())
+            return verify(rows)
+
+        return known(buckets, look, *more, **named)
+
+    monkeypatch.setattr(lines, "link_buckets", counted)
+    tried = {}
+    for n in (200, 800):
+        passage = some(20)
+        rows = []
+        for i in range(n):
+            own, at = some(20), rng.choice((0, 10, 20))
+            rows.append((i, " ".join(own[:at] + passage + own[at:])))
+        rows.append((n, edited(rng, rows[7][1], 0.04)))
+        pairs.clear()
+        got = {r.doc_id for r in lines.dedup_lines(frame(spark, rows)).collect() if r.n_removed}
+        assert got == {n}
+        tried[n] = sum(pairs)
+    assert tried[800] <= 6 * tried[200]
+    assert tried[800] <= 0.05 * 800 * 799 / 2
+
+
 def test_line_dedup_keeps_lines_of_other_digits(spark):
     rows = [(1, "2019: 1,204\n7: 5\n+49 30 5550100"), (2, "7: 6\n2020: 3,881\n+49 30 7770199"), (3, "7: 5"), (4, "the meter of house 4 reads 20177 units"), (5, "the meter of house 5 reads 20177 units")]
     got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}

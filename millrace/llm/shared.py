@@ -75,6 +75,12 @@ def drop(*frames: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def handed(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, which is computed from table alone, as its new owner: dropping df deletes the table."""
+    df.__dict__["_scratch"] = table.__dict__.pop("_scratch", None)
+    return df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles and broadcasts are no longer used."""
     gc.collect()

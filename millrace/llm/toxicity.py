@@ -1,7 +1,8 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
 Severity grades are 0 (not toxic), 1 and 2. Labels say only whether a text is toxic; of the toxic ones those with more
-telling features than the median (features that lean to toxic texts by more than TELLING standard errors) are grade 2.
+telling features than the median are grade 2. Telling are the features that lean to toxic texts by more than TELLING
+standard errors in the other half of the sample, so no text takes part in choosing the features that grade it.
 One weight vector serves all thresholds: P(grade > k) = 1 / (1 + exp(threshold_k - score)), the thresholds ascending, and
 the expected severity is the sum of these. A text is rejected if P(grade > 0) is at least 1/2.
 """
@@ -15,26 +16,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_back, id_key, slices, tagged, utf8
+from millrace.llm.shared import id_back, id_key, mix, slices, tagged, utf8
 from millrace.llm.textmodel import SAMPLE, Sample, TextModel, choose_features, descend, labelled
 
 GRADES = 3
-TELLING = 6.0
+TELLING = 4.0
+BINS = 10
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def leaning(sample: Sample, rows: np.ndarray) -> np.ndarray:
+    """Of each feature how many standard errors its share in the toxic texts among rows (a mask) is above that in others."""
+    toxic, features = sample.label == 1, len(sample.lean)
+    own, rest = (rows & toxic).sum(), (rows & ~toxic).sum()
+    if not own or not rest:
+        return np.zeros(features)
+    here = rows[sample.row]
+    n = np.bincount(sample.at[here], minlength=features)
+    n1 = np.bincount(sample.at[here & toxic[sample.row]], minlength=features)
+    share = n / (own + rest)
+    return (n1 / own - (n - n1) / rest) / (np.sqrt(share * (1 - share) * (1 / own + 1 / rest)) + 1e-9)
+
+
 def grades(sample: Sample) -> np.ndarray:
-    """The severity grade of each sample row, from its label and its number of telling features."""
-    if not len(sample.label):
-        return sample.label
-    telling = sample.lean[:, 1] > TELLING if len(sample.lean) else np.zeros(0, dtype=bool)
-    count = np.bincount(sample.row[telling[sample.at]] if len(sample.at) else sample.row[:0], minlength=len(sample.label))
+    """The severity grade of each sample row, from its label and the features that tell in the half it is not in.
+
+    Rows are halved by a hash of their ids. A half without toxic texts, or without others, tells nothing of the other,
+    whose toxic texts are then grade 1; so are those with as many telling features as the median.
+    """
     toxic = sample.label == 1
-    middle = np.median(count[toxic]) if toxic.any() else 0
-    return np.where(toxic, 1 + (count > middle), 0)
+    out = toxic.astype(np.int64)
+    half = (mix(sample.keys.view(np.uint64)) & np.uint64(1)).astype(bool)
+    for own in (half, ~half):
+        telling = leaning(sample, ~own) > TELLING
+        count = np.bincount(sample.row[telling[sample.at]], minlength=len(toxic))
+        if (own & toxic).any():
+            out[own & toxic & (count > np.median(count[own & toxic]))] = 2
+    return out
 
 
 def fit_ordinal(model: TextModel, sample: Sample, grade: np.ndarray, ridge: float = 1e-5, steps: int = 500) -> TextModel:
@@ -104,7 +125,11 @@ def score_toxicity(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Data
 
 def drop_toxic(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """The rows of df whose text is not rejected, with all their columns. The score is a column beside the row's own,
-    so nothing is joined or shuffled."""
+    so nothing is joined or shuffled.
+
+    Null and empty texts are scored as texts without features, repeated rows each and alike, a null doc_id like any
+    other; an empty table gives no rows.
+    """
     model = train(df, labels, most)
 
     @F.pandas_udf("double")
@@ -117,3 +142,20 @@ def drop_toxic(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
     marked, back = tagged(df)
     return marked.withColumn("p", p_toxic(F.coalesce("text", F.lit("")))).where("p < 0.5").select(*back)
+
+
+def calibration(df: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(bin, n, p_toxic, toxic_share, severity) of labelled texts that the model has not seen.
+
+    Half of the sample, by a hash of the ids, fits the model; the other half is put into BINS bins of p_toxic. A bin
+    has its number of texts, their mean p_toxic, the share that is labelled toxic and their mean severity. Bins without
+    texts are left out, so an empty table gives no rows; several texts of one id count each.
+    """
+    sample = labelled(df, labels, "CAST(toxic > 0 AS int)", most)
+    held = F.pmod(F.xxhash64("key", F.lit("held")), F.lit(2)) == 1
+    model, seen = choose_features(sample.where(~held), 2)
+    model = fit_ordinal(model, seen, grades(seen))
+    truth = sample.where(held).groupBy("key").agg(F.max("label").alias("label"))
+    scored = severity(sample.where(held).select("key", "text"), model).join(truth, "key")
+    place = F.least(F.floor(F.col("p1") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    return scored.groupBy(place).agg(F.count("*").alias("n"), F.avg("p1").alias("p_toxic"), F.avg("label").alias("toxic_share"), F.avg("severity").alias("severity"))

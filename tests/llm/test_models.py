@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import textmodel, toxicity
 
@@ -89,3 +90,20 @@ def test_softmax_posteriors_equal_a_plain_fit():
         w, b = w - 0.1 * (x.T @ (p - truth) / n + 0.05 * w), b - 0.1 * (p - truth).mean(axis=0)
     got = textmodel.softmax(x @ model.weights + model.bias)
     assert np.abs(got - p).max() < 0.01
+
+
+def test_calibration_and_clashing_names(spark):
+    rows = [(i, "calm words of the day " + ("vile rotten" if i % 4 == 0 else "fair bright")) for i in range(120)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, None), (500, "")], "doc_id long, text string")
+    for name in ("key", "p", "own0", "label", "TEXT2"):
+        docs = docs.withColumn(name, F.lit(7))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [*(i for i in range(120) if i % 4), 500]
+    assert kept.where("doc_id IS NULL").count() == 1
+    scored = toxicity.score_toxicity(docs, labels).where("doc_id = 0").collect()
+    assert len(scored) == 2 and scored[0] == scored[1] and scored[0].rejected
+    bins = toxicity.calibration(docs, labels).collect()
+    assert sum(b.n for b in bins) < 121 and all(b.toxic_share == (b.p_toxic > 0.5) for b in bins)
+    assert toxicity.calibration(docs.limit(0), labels).count() == 0

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+import __spark_entry__ as entry
 from tests.test_catalog import pytestmark, sql, test_query_equals_sql  # noqa: F401
 
 NAMES = (
@@ -17,3 +21,19 @@ del test_query_equals_sql
 @pytest.mark.parametrize("name", NAMES)
 def test_file_query_equals_sql(spark, sql, name):  # noqa: F811
     check(spark, sql, name)
+
+
+def test_ingest_has_one_empty_file_though_the_first_task_has_no_rows(spark, tmp_path):
+    """One row group over several splits: the first split gives no rows."""
+    rows = pa.table({"c_custkey": list(range(2000)), "c_name": [f"Customer#{i:09d}" for i in range(2000)]})
+    pq.write_table(rows, tmp_path / "customer.parquet", row_group_size=10_000, compression="none", use_dictionary=False)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        assert len(spark.read.parquet(f"{tmp_path}/customer.parquet").rdd.glom().first()) == 0
+        got = entry.queries()["s11_ingest"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()["s11_ingest"]).fetchall())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.conditions import holds
 from millrace.functions.derive import derive
-from millrace.operators import columns, fuzzy, impute, moves, numeric, text, types
+from millrace.operators import columns, fuzzy, impute, moves, numeric, rows, text, types
 from millrace.plans.recipe import Context, compile_recipe, validate
 
 
@@ -261,3 +261,14 @@ def test_conditional_step(spark):
     df = frame(spark, [(1, "A", 1), (2, "B", 9)], "id int, v string, n int")
     recipe = {"cleaning_steps": [{"action": "normalize", "column": "v", "params": {"case": "lower", "condition": {"column": "n", "op": ">", "value": 5}}}]}
     assert values(compile_recipe(df, recipe), "v") == ["A", "b"]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_backward_fill_has_no_frame_to_the_end(spark, keys):
+    """Spark works a frame from the current row to the end anew for each row."""
+    n = 20_000
+    df = spark.range(n).select("id", F.lit(1).alias("k"), F.when((F.col("id") % 1000 == 999) & (F.col("id") < 15_000), F.col("id")).alias("v"))
+    made = rows.fill(df, ["v"], "id", keys, backward=True)
+    assert "currentrow$(), unboundedfollowing$()" not in made._jdf.queryExecution().analyzed().toString().lower()
+    assert made.columns == ["id", "k", "v"]
+    assert made.where("v <=> CASE WHEN id < 15000 THEN id div 1000 * 1000 + 999 END").count() == n

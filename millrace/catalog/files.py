@@ -48,6 +48,13 @@ def s06_encodings(s: SparkSession, d: str) -> DataFrame:
     return readers.text_lines(s, path).select("text")
 
 
+def file_each(rows: DataFrame, path: str) -> None:
+    """A text file for each row, all in one folder, written by as many tasks as a shuffle has. Folders of their own would
+    each be listed, and a table of one split would be written by one task."""
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt.write.option("maxRecordsPerFile", 1).text(path)
+
+
 S10 = """
     WITH s AS (SELECT s_name AS title, 'https://docs.example.org/d/document-' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') || '/edit' AS url,
                       'document-' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS file_id FROM supplier)
@@ -63,7 +70,7 @@ def s10_shortcuts(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "shortcuts")
     url = F.concat(F.lit("https://docs.example.org/d/document-"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"), F.lit("/edit"))
     body = F.to_json(F.struct(F.col("s_name").alias("title"), url.alias("url"))).alias("value")
-    table(s, d, "supplier").select("s_suppkey", body).write.partitionBy("s_suppkey").text(path)
+    file_each(table(s, d, "supplier").select(body), path)
     units = readers.shortcut_rows(s, path)
     return units.select("unit_kind", "text", F.get_json_object("style_json", "$.file_id").alias("file_id"))
 
@@ -269,5 +276,5 @@ def s17b_json_record_files(s: SparkSession, d: str) -> DataFrame:
     """A file with one JSON record over several lines for each supplier."""
     path = scratch(s, "records")
     body = F.to_json(F.struct("s_suppkey", "s_name"), {"pretty": "true"}).alias("value")
-    table(s, d, "supplier").select(F.col("s_suppkey").alias("file"), body).write.partitionBy("file").text(path)
+    file_each(table(s, d, "supplier").select(body), path)
     return readers.json_records(s, path).select("s_suppkey", "s_name")

@@ -37,3 +37,22 @@ def test_ingest_has_one_empty_file_though_the_first_task_has_no_rows(spark, tmp_
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()["s11_ingest"]).fetchall())
+
+
+def test_a_file_for_each_row_in_one_folder(spark, tmp_path):
+    from millrace.catalog.files import file_each
+
+    file_each(spark.range(50).selectExpr("concat('{\n\"id\": ', id, '}') AS value"), f"{tmp_path}/each")
+    assert len(list(tmp_path.glob("each/*.txt"))) == 50
+    assert not [p for p in tmp_path.glob("each/*") if p.is_dir()]
+
+
+def test_json_record_files_need_no_look_up_of_each_file(spark, tmp_path):
+    from millrace.sources import readers
+
+    (tmp_path / "a.json").write_text('{\n"id": 1, "name": "é"\n}')
+    (tmp_path / "b.json").write_text('[{"id": 2},\n{"id": 3, "more": 1.5}]')
+    (tmp_path / "c.json").write_bytes('{"id": 4,\n"name": "ü"}'.encode("utf-16"))
+    df = readers.json_records(spark, str(tmp_path))
+    assert df.schema == spark.read.json(str(tmp_path), multiLine=True).schema
+    assert sorted(map(tuple, df.select("id", "name", "more").collect())) == [(1, "é", None), (2, None, None), (3, None, 1.5), (4, "ü", None)]

@@ -111,3 +111,17 @@ def test_number_order():
     assert ranks.in_order(1.0, math.nan)
     assert not ranks.in_order(math.nan, 1.0)
     assert ranks.places(5, [0.0, 0.5, 1.0], "disc") == [(0, 0, 0.0), (2, 2, 0.0), (4, 4, 0.0)]
+
+
+def test_large_groups_are_not_shuffled_by_their_key(spark):
+    """A join by sort and merge would bring each large group into one task."""
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ranks.group_medians(df, ["g"], F.col("x"), large=1000)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "hk0" in line]
+        assert sorted(map(tuple, made.collect())) == [(0, 1999.5), (1, 1999.0), (2, 2000.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

@@ -39,6 +39,38 @@ def test_unicode_normalize_removes_accents(spark):
     assert values(text.unicode_normalize(df, "v", {"form": "NFC"}), "v")[0] == "José"
 
 
+@pytest.mark.parametrize("form", text.FORMS)
+def test_accents_of_all_letters(spark, form):
+    """Letters one by one, and beside marks and Hangul, which do depend on their neighbours."""
+    import unicodedata
+
+    each = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x2100), 0xAC01, 0x1100, 0x1161]]
+    given = [*each, *(f"a{c}\u0301\u0591e" for c in each), *(f"é{c}ß" for c in each), "\u1100\u1161", "", None]
+    apart = "NFKD" if form.startswith("NFK") else "NFD"
+    bare = lambda v: "".join(c for c in unicodedata.normalize(apart, v) if not "\u0300" <= c <= "\u036f")
+    df = frame(spark, list(enumerate(given)), "id int, v string")
+    assert values(text.unicode_normalize(df, "v", {"form": form, "remove_diacritics": True}), "v") == [None if v is None else unicodedata.normalize(form, bare(v)) for v in given]
+    assert values(text.unicode_normalize(df, "v", {"form": form}), "v") == [None if v is None else unicodedata.normalize(form, v) for v in given]
+
+
+def test_accents_are_removed_from_a_few_texts_at_a_time():
+    """The memory beside a batch and its result is that of a few texts; the texts in all their forms take some times theirs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.array(["é" * 5_000 for _ in range(640)], pa.string())
+    tracemalloc.start()
+    try:
+        made = text.normal_form("NFC", True).func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made) == 640
+    assert made[639].as_py() == "e" * 5_000
+    assert peak < 5_000 * 2 * 640 / 2
+
+
 def test_replace_map_regex(spark):
     df = frame(spark, [(1, "a.b.a"), (2, None)], "id int, v string")
     assert values(text.replace(df, "v", {"old": "a", "new": "$"}), "v") == ["$.b.$", None]

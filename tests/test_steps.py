@@ -53,7 +53,7 @@ def test_accents_of_all_letters(spark, form):
     assert values(text.unicode_normalize(df, "v", {"form": form}), "v") == [None if v is None else unicodedata.normalize(form, v) for v in given]
 
 
-def test_accents_are_removed_from_a_few_texts_at_a_time():
+def test_accents_are_removed_from_a_few_texts_at_a_time(spark):
     """The memory beside a batch and its result is that of a few texts; the texts in all their forms take some times theirs."""
     import tracemalloc
 

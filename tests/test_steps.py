@@ -304,3 +304,33 @@ def test_backward_fill_has_no_frame_to_the_end(spark, keys):
     assert "currentrow$(), unboundedfollowing$()" not in made._jdf.queryExecution().analyzed().toString().lower()
     assert made.columns == ["id", "k", "v"]
     assert made.where("v <=> CASE WHEN id < 15000 THEN id div 1000 * 1000 + 999 END").count() == n
+
+
+@pytest.mark.parametrize("cutoff", [0.75, 0.8, 0.85, 0.95])
+def test_slots_of_characters_lose_no_match(spark, cutoff):
+    """Differences spread over a key as thinly as the ratio allows, and keys with repeated runs."""
+    import difflib
+    import random
+
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (9, 10, 14, 22, 22, 31, 45, 60)] + ["ab" * 8, "a" * 20, "abcd" * 5]
+
+    def spread(text: str, every: int) -> str:
+        """Every so many characters one is lost or added, in turn."""
+        out = []
+        for i, c in enumerate(text):
+            out.append("" if i % (2 * every) == every - 1 else c + "#" if i % (2 * every) == 2 * every - 1 else c)
+        return "".join(out)
+
+    words = sorted({w for b in base for w in (b, *(spread(b, n) for n in (2, 3, 4, 5)), spread(b[::-1], 3)[::-1], "##" + b, b + "##", b[:4] + "##" + b[4:-4] + "##" + b[-4:], b[3:] + b[:3])})
+    df = frame(spark, [(w,) for w in words], "k string")
+    got = {(r.a, r.b) for r in fuzzy.matching_pairs(df, df, cutoff).collect()}
+    assert got == {(a, b) for a in words for b in words if difflib.SequenceMatcher(None, a, b).ratio() >= cutoff}
+
+
+def test_unlike_keys_seldom_meet(spark):
+    """Random keys meet in their slots about as often as there are keys, not as there are pairs."""
+    keys = spark.range(4000).select(F.substring(F.base64(F.unhex(F.md5(F.col("id").cast("string")))), 1, 22).alias("k"))
+    filed = fuzzy.slots(keys, keys, 0.8).select("k", "slot").distinct().groupBy("slot").agg(F.count("*").alias("n"))
+    met = filed.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("met")).first().met
+    assert met < 40 * 4000 and fuzzy.bigram_pairs(keys, keys, 0.8).isEmpty()

@@ -334,3 +334,12 @@ def test_unlike_keys_seldom_meet(spark):
     filed = fuzzy.slots(keys, keys, 0.8).select("k", "slot").distinct().groupBy("slot").agg(F.count("*").alias("n"))
     met = filed.agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("met")).first().met
     assert met < 40 * 4000 and fuzzy.bigram_pairs(keys, keys, 0.8).isEmpty()
+
+
+def test_fuzzy_search_reads_its_tables_once(spark, tmp_path):
+    frame(spark, [("large ring",), ("larga ring",), ("old gear",)], "k string").write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys").distinct()
+    pairs = fuzzy.matching_pairs(keys, spark.read.parquet(f"{tmp_path}/keys").distinct(), 0.8)
+    assert pairs.where("a < b").select("a", "b").collect() == [("larga ring", "large ring")]
+    # the tables are behind the written keys, so the search itself has none of their scans
+    assert "parquet" not in pairs._jdf.queryExecution().toString()

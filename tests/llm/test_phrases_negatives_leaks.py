@@ -114,6 +114,20 @@ def test_paths_of_wide_vocabularies_sort_alike():
     assert n.tolist() == [want[p] for p in sorted(want)]
 
 
+def test_a_shard_takes_few_bytes_a_word():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    stream = collocations.Stream()
+    stream.feed(b" ".join(b"w%d" % i for i in rng.zipf(1.3, 200_000) % 50_000))
+    tracemalloc.start()
+    paths, counts, _ = stream.take(True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 200_000 and len(paths) > 100_000
+    assert peak / 200_000 < 80
+
+
 # ---- hard negatives
 
 

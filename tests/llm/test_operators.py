@@ -463,6 +463,21 @@ def test_lines_around_a_passage_are_not_paired_with_all(spark, monkeypatch):
     assert tried[800] <= 0.05 * 800 * 799 / 2
 
 
+def test_line_dedup_does_not_depend_on_bucket_sizes(spark, monkeypatch):
+    """Copies edited all over their first quarter, among many unlike lines around one passage: found in a large bucket, as
+    they are in one of up to SMALL lines; its blocks are so small here that copies fall into others."""
+    from millrace.llm import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 16, raising=False)
+    rng = random.Random(35)
+    text = lambda n: "".join(rng.choice("bcdfgjkmpquvwxyz") for _ in range(n))
+    passage = text(100)
+    rows = [(i, text(50) + passage + text(50 + i % 3)) for i in range(60)]
+    rows += [(100 + i, "".join("0" if k < 50 and k % 5 == 2 else c for k, c in enumerate(rows[i][1]))) for i in range(0, 60, 6)]
+    got = {r.doc_id for r in lines.dedup_lines(frame(spark, rows)).collect() if r.n_removed}
+    assert got == {100 + i for i in range(0, 60, 6)}
+
+
 def test_line_dedup_keeps_lines_of_other_digits(spark):
     rows = [(1, "2019: 1,204\n7: 5\n+49 30 5550100"), (2, "7: 6\n2020: 3,881\n+49 30 7770199"), (3, "7: 5"), (4, "the meter of house 4 reads 20177 units"), (5, "the meter of house 5 reads 20177 units")]
     got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}

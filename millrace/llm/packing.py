@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -57,34 +58,42 @@ class WordTokens:
         self.ids = np.zeros(0, dtype=np.uint32)
         self.first = np.zeros(1, dtype=np.int64)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn, and how many each word has."""
         if len(self.mark) != 1:
-            return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        out: list[list[int]] = [[]] * len(words)
-        plain = [i for i, w in enumerate(words) if MARK not in w]
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join([words[i] for i in some])], add_special_tokens=False)[0].ids)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark[0]))
-            for i, x in zip(some, parts, strict=True):
-                out[i] = x[1:].tolist() if i != some[0] else x.tolist()
-        for i in set(range(len(words))) - set(plain):
-            out[i] = self.tokenizer.encode(words[i], add_special_tokens=False).ids
-        return out
+            single = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            return np.array([y for x in single for y in x], dtype=np.uint32), np.array([len(x) for x in single], dtype=np.int64)
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        odd = [i for i, w in enumerate(words) if MARK in w]
+        for a, b in pairwise([0, *(x for i in odd for x in (i, i + 1)), len(words)]):
+            for k in range(a, b, 256):
+                some = words[k : min(k + 256, b)]
+                got = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                if MARK in some[0]:  # a word by itself
+                    ids.append(got)
+                    sizes.append(np.array([len(got)]))
+                    continue
+                at = np.flatnonzero(got == self.mark[0])
+                if len(at) != len(some) - 1:
+                    raise ValueError("the tokenizer does not part words at the mark")
+                ids.append(got[got != self.mark[0]])
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(got)]])) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def lookup(self, words: pa.Array) -> np.ndarray:
         """The places of distinct words in the cache, which takes them up."""
         if len(self.words) + len(words) > CACHED_WORDS:
             self.clear()
-        at = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(at))
-        if len(new):
-            ids = self.encode_words(new.to_pylist())
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, np.array([y for x in ids for y in x], dtype=np.uint32)])
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = at < 0
+        if missing.any():
+            new = words.filter(pa.array(missing))
+            ids, sizes = self.encode_words(new.to_pylist())
+            at[missing] = len(self.words) + np.arange(len(new))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
             self.words = pa.concat_arrays([self.words, new])
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at
 
     def __call__(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with the end id, and the places (ids before) after which a sentence ends."""

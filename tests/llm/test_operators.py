@@ -206,6 +206,22 @@ def test_packing_covers_every_token(spark, sample):
         assert g.length.sum() <= 256
 
 
+def test_word_ids_come_as_arrays():
+    """Ids of many words in one array, without a list for each word; words that hold the mark are encoded by themselves."""
+    import public_tokenizers
+
+    rng = random.Random(6)
+    words = [f"w{i}" + "xé漢"[i % 3] * rng.randint(1, 9) for i in range(700)]
+    words[3], words[256], words[257], words[699] = "a\x01b", "\x01", "\x01\x01c", "<|endoftext|>"
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    want = [tokens.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    ids, sizes = tokens.encode_words(words)
+    assert ids.tolist() == [y for x in want for y in x] and sizes.tolist() == [len(x) for x in want]
+    at = tokens.lookup(pa.array(words[:500], pa.large_string()))
+    again = tokens.lookup(pa.array(words[400:], pa.large_string()))
+    assert at.tolist() == list(range(500)) and again.tolist() == list(range(400, 700))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_cuts_are_optimal(seed):
     rng = np.random.default_rng(seed)

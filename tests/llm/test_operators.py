@@ -494,6 +494,31 @@ def test_line_dedup_does_not_depend_on_bucket_sizes(spark, monkeypatch):
     assert got == {100 + i for i in range(0, 60, 6)}
 
 
+def test_line_dedup_fetches_only_lines_that_can_be_similar(spark, monkeypatch):
+    """Lines around one passage whose lengths are unlike have buckets in common, but their texts are not copied."""
+    rng = random.Random(36)
+    text = lambda n: "".join(rng.choice("bcdfgjkmpquvwxyz") for _ in range(n))
+    passage = text(150)
+    rows = [(i, passage + text(round(20 * 1.2**i))) for i in range(0, 16, 2)]
+    rows += [(100, text(200)), (101, "a lone line of its own")]
+    rows.append((102, rows[-2][1][:150] + "0" + rows[-2][1][151:]))
+    fetched, known = [], lines.materialise
+
+    def look(df, name, *done):
+        out = known(df, name, *done)
+        if name == "line-texts":
+            fetched.append({r.norm for r in out.select("norm").collect()})
+        return out
+
+    monkeypatch.setattr(lines, "materialise", look)
+    got = {r.doc_id for r in lines.dedup_lines(frame(spark, rows)).collect() if r.n_removed}
+    assert got == {102}
+    like = lambda a, b: min(len(a), len(b)) >= 0.9 * max(len(a), len(b))
+    can = {t for _, t in rows if any(like(t, u) for _, u in rows if t != u)}
+    assert len(can) < len(rows) - 3
+    assert fetched and set().union(*fetched) <= can
+
+
 def test_line_dedup_keeps_lines_of_other_digits(spark):
     rows = [(1, "2019: 1,204\n7: 5\n+49 30 5550100"), (2, "7: 6\n2020: 3,881\n+49 30 7770199"), (3, "7: 5"), (4, "the meter of house 4 reads 20177 units"), (5, "the meter of house 5 reads 20177 units")]
     got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, rows)).collect()}

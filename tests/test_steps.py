@@ -277,6 +277,31 @@ def test_minhash_pairs_lose_no_match(spark, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9, 1.0])
+def test_sets_meet_in_parts_without_loss(spark, threshold):
+    """Every similar pair is found, also of small sets with empty parts; sets that share common words alone do not meet."""
+    import random
+
+    rng = random.Random(12)
+    sets = [rng.sample(range(1000), n) for n in [*range(1, 40), 60, 90, 200, 200, 400] for _ in range(2)]
+    near = []
+    for s in sets:
+        for _ in range(3):
+            gone = rng.randint(0, max(1, len(s) // 5))
+            near.append(s[gone:] + rng.sample(range(1000, 9000), rng.randint(0, max(0, len(s) // 5 - gone) + 1)))
+    sets = [set(s) for s in [*sets, *near] if s]
+    common = [{*range(20_000, 20_030), *rng.sample(range(30_000, 90_000), 60)} for _ in range(60)]
+    rows = [(i, sorted(s)) for i, s in enumerate(sets + common)]
+    df = frame(spark, rows, "k long, w array<long>")
+    hashed = df.select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    got = {(r.a, r.b) for r in fuzzy.set_pairs(hashed, threshold).collect()}
+    both = sets + common
+    want = {(i, j) for j in range(len(both)) for i in range(j) if len(both[i] & both[j]) >= threshold * len(both[i] | both[j]) - 1e-9}
+    assert len(want) > 20 and want <= got
+    # parts are so many at a low threshold that they hold single words
+    assert threshold < 0.8 or sum(i >= len(sets) for i, _ in got) <= 5
+
+
 def test_recipe_validation_and_missing_column(spark):
     with pytest.raises(ValueError, match="step 0"):
         validate({"cleaning_steps": [{"action": "odd", "column": "a"}]})

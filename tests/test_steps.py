@@ -302,6 +302,17 @@ def test_sets_meet_in_parts_without_loss(spark, threshold):
     assert threshold < 0.8 or sum(i >= len(sets) for i, _ in got) <= 5
 
 
+def test_random_keys_seldom_share_runs(spark):
+    """The runs are as long as the cutoff allows: at 0.85 keys of 22 characters share five in a row, of which random keys
+    have far fewer in common than of four."""
+    import random
+
+    rng = random.Random(14)
+    keys = frame(spark, [("".join(rng.choices("0123456789abcdef", k=22)),) for _ in range(1500)], "k string")
+    met = fuzzy.slots(keys, keys, 0.85).groupBy("slot").count().agg(F.sum(F.expr("count * (count - 1) / 2")).alias("n")).first().n
+    assert met < 2500
+
+
 def test_recipe_validation_and_missing_column(spark):
     with pytest.raises(ValueError, match="step 0"):
         validate({"cleaning_steps": [{"action": "odd", "column": "a"}]})
